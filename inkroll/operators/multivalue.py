@@ -32,7 +32,7 @@ QUOTE_PAIRS = {'"': '"', "“": "”", "«": "»", "'": "'"}
 
 _STOP = re.compile(r"""[("\[]|[,;|；、，\t\n\r\x0b\x0c]|\s+[&/•](?=\s|$)|(?<=\S)[&/•](?=\s)|\s+and(?=\s)""", re.IGNORECASE)
 _ANY = re.compile(r"""["'“«(\[,;|；、，\t\n\r\x0b\x0c&/•]|\sand\s""", re.IGNORECASE)
-_GAP = re.compile(r"(?:[\s,;|；、，&/•]+)")
+_GAP = re.compile(r"[ \t\n\r\x0b\x0c,;|；、，&/•]+")
 _LEAD_AND = re.compile(r"and\s+", re.IGNORECASE)
 _SLOT_END = re.compile(r"\s*(?:$|[,;|；、，\t\n\r&/•]|and\s)", re.IGNORECASE)
 _QUOTED = {'"': re.compile(r'"((?:[^"]|"")*)"'), "“": re.compile("“([^“”]*)”"), "«": re.compile("«([^«»]*)»"), "'": re.compile(r"'([^']*)'")}
@@ -98,10 +98,13 @@ _SHAPES = str.maketrans({"о": "o", "ο": "o", "О": "O", "Ο": "O", "і": "i",
 
 
 
-def split_field(text: str) -> list[tuple[str, str | None]]:
-    """The values of one field with an error flag each (``bad_quote``, ``bad_bracket`` or None)."""
+def split_field(text: str, blanks: str | None = None) -> list[tuple[str, str | None]]:
+    """The values of one field with an error flag each (``bad_quote``, ``bad_bracket`` or None).
+
+    ``blanks``: the characters to take off around a value, by default all white space.
+    """
     if not _ANY.search(text):
-        text = text.strip()
+        text = text.strip(blanks)
         return [(text, None)] if text else []
     pieces: list[list] = []  # start, end, separator before, value if quoted, flag
     at, n, gap = 0, len(text), ""
@@ -121,7 +124,7 @@ def split_field(text: str) -> list[tuple[str, str | None]]:
             m = _QUOTED[opening].match(text, at)
             if m and _SLOT_END.match(text, m.end()):
                 value = m.group(1).replace('""', '"') if opening == '"' else m.group(1)
-                pieces.append([at, m.end(), gap, value.strip(), None])
+                pieces.append([at, m.end(), gap, value.strip(blanks), None])
                 at, gap = m.end(), ""
                 continue
             flag = "bad_quote" if opening == '"' else None
@@ -154,11 +157,11 @@ def split_field(text: str) -> list[tuple[str, str | None]]:
             out[-1][1], out[-1][4] = end, out[-1][4] or flag
         else:
             out.append(piece)
-    values = ((text[a:b].strip() if value is None else value, flag) for a, b, _, value, flag in out)
+    values = ((text[a:b].strip(blanks) if value is None else value, flag) for a, b, _, value, flag in out)
     return [(v, f) for v, f in values if v]
 
 
-def split_values(df: DataFrame, field: str, position: str = "position", item: str = "item", error: str = "error") -> DataFrame:
+def split_values(df: DataFrame, field: str, position: str = "position", item: str = "item", error: str = "error", blanks: str | None = None) -> DataFrame:
     """One row per value packed in ``field``, with all other columns, the 0-based position and an error flag.
 
     Null, empty and blank fields and empty slots yield no row; repeated rows stay repeated; a field of
@@ -174,7 +177,7 @@ def split_values(df: DataFrame, field: str, position: str = "position", item: st
             rows, positions, items, errors = [], [], [], []
             for r, text in enumerate(batch.column(len(keep)).to_pylist()):
                 if text:
-                    for p, (value, flag) in enumerate(split_field(text)):
+                    for p, (value, flag) in enumerate(split_field(text, blanks)):
                         rows.append(r)
                         positions.append(p)
                         items.append(value)
