@@ -35,7 +35,7 @@ del LOOKALIKES["З"]
 # Letters without ink or width that are not of category Cf or Mn.
 INVISIBLE = "ᅟᅠㅤﾠ⠀͏឴឵᠋᠌᠍︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️"
 #: Code points that no step can change; quick-check ranges, the same for the JVM and for Python.
-STABLE = "\\u0020-\\u007e\\u00c0-\\u0130\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e\\u0180-\\u01c3\\u01cd-\\u01f0\\u01f4-\\u024f\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fff"
+STABLE = "\\t\\n\\r\\u000b\\u000c\\u0020-\\u007e\\u00c0-\\u0130\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e\\u0180-\\u01c3\\u01cd-\\u01f0\\u01f4-\\u024f\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fff"
 PLAIN_BLANKS = " \t\n\r\x0b\x0c"
 
 _SEGMENT = re.compile(f"[{STABLE}]?[^{STABLE}]+")
@@ -79,10 +79,14 @@ def is_stable(text: Column) -> Column:
     return ~text.rlike(f"[^{STABLE}]")
 
 
+def _tidy(text: Column) -> Column:
+    """Runs of plain blanks made one, ends stripped."""
+    return F.trim(F.regexp_replace(text, "[ \\t\\n\\r\\u000b\\f]+", " "))
+
+
 def canonical(text: Column) -> Column:
     """Canonical form as a column; rows that pass the quick check only have their blanks tidied."""
-    tidy = F.trim(F.regexp_replace(text, " +", " "))
-    return F.when(is_stable(text), tidy).otherwise(_canonical(text))
+    return F.when(is_stable(text), _tidy(text)).otherwise(_canonical(text))
 
 
 def normalise(df: DataFrame, column: str, into: str) -> DataFrame:
@@ -90,7 +94,7 @@ def normalise(df: DataFrame, column: str, into: str) -> DataFrame:
 
     Rows are parted by the quick check first, so that only unstable texts cross to Python.
     """
-    stable = df.where(F.col(column).isNull() | is_stable(F.col(column))).withColumn(into, F.trim(F.regexp_replace(column, " +", " ")))
+    stable = df.where(F.col(column).isNull() | is_stable(F.col(column))).withColumn(into, _tidy(F.col(column)))
     return stable.unionByName(df.where(~is_stable(F.col(column))).withColumn(into, _canonical(F.col(column))))
 
 
@@ -102,10 +106,9 @@ def looks_like(df: DataFrame, name: str, names: DataFrame, ref: str) -> DataFram
     empty tables give no rows; repeated rows are kept. The join is on the canonical form; Catalyst
     broadcasts ``names`` only if its size is below the session's threshold.
     """
-    tidy = F.trim(F.regexp_replace(F.col(name), "[ \\t\\n\\r\\u000b\\f]+", " "))
     odd = df.where(~is_stable(F.col(name))).withColumn("_form", _canonical(F.col(name)))
     refs = names.where(F.col(ref).isNotNull()).withColumn("_form", _canonical(F.col(ref)))
-    return odd.join(refs, "_form").where((F.col("_form") != "") & (tidy != F.col(ref))).drop("_form")
+    return odd.join(refs, "_form").where((F.col("_form") != "") & (_tidy(F.col(name)) != F.col(ref))).drop("_form")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
