@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkroll.sources.tables import table
@@ -17,6 +17,16 @@ def letters(name: Column) -> Column:
     return F.regexp_replace(_fold(name), "[^\\p{L}\\p{N}]", "")
 
 
+#: Letters counted by the first, cheap key.
+COUNTED = "aeinorl"
+
+
+def _cheap(name: Column) -> list[Column]:
+    """Invariants of the format: stripped length and the counts of a few letters."""
+    text = letters(name)
+    return [F.length(text), *(F.length(F.translate(text, c, "")) for c in COUNTED)]
+
+
 def word_key(name: Column) -> Column:
     """The words in sorted order, as often each, case folded; a name without words is its own key."""
     words = F.array_sort(F.filter(F.split(_fold(name), "[^\\p{L}\\p{N}]+"), lambda x: x != ""))
@@ -29,29 +39,29 @@ def copy_classes(df: DataFrame, row_id: str, keys: list[str], name: str) -> Data
     A record is a set of rows equal in all ``keys`` whose names have the same words; ``first_id`` is its
     smallest ``row_id``. Null keys are equal to each other; rows with a null name are no records.
 
-    Refinement: (1) rows are counted by a hash of the keys and the stripped length, combined before the
-    shuffle, and the rows of singleton classes leave; (2) exact repeats are aggregated to one row each,
-    again with map-side combining, so a third of all rows in one record stays small; (3) classes are split
-    by their letter histogram; (4) only classes that still have several names get the sorted-word key.
-    No class is collected: every step is a hash aggregate or an equi-join on the class key, whose large
-    side adaptive execution can split.
+    Refinement: (1) rows are counted by a hash of the keys and cheap invariants of the name, its stripped
+    length and how often a few letters occur, combined before the shuffle, and the rows of singleton classes
+    leave; (2) exact repeats are aggregated to one row each, again with map-side combining, so a record that
+    holds a third of all rows becomes a few rows; (3) classes are split by their full letter histogram; (4)
+    only classes that still have several spellings get the sorted-word key. The windows run over distinct
+    spellings of one record, never over its rows; the last join's large side can be split by adaptive execution.
     """
     plain = {k: f"_k{i}" for i, k in enumerate(keys)}
     rows = df.where(F.col(name).isNotNull()).select(
         F.col(row_id).alias("_id"), F.col(name).alias("_name"), *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")).alias(c) for k, c in plain.items()]
     )
     by = list(plain.values())
-    rows = rows.withColumn("_h", F.xxhash64(*by, F.length(letters(F.col("_name")))))
+    rows = rows.withColumn("_h", F.xxhash64(*by, *_cheap(F.col("_name"))))
     several = rows.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
     rows = rows.join(several, "_h", "left_semi").drop("_h")
     names = rows.groupBy(*by, "_name").agg(F.min("_id").alias("_mid"), F.count("*").alias("_n"))
     names = names.withColumn("_hist", F.xxhash64(F.array_sort(F.split(letters(F.col("_name")), ""))))
-    groups = names.groupBy(*by, "_hist").agg(F.count("*").alias("_names"), F.sum("_n").alias("_rows"), F.min("_mid").alias("_gmid")).where("_rows > 1")
-    members = names.join(groups, [*by, "_hist"])
-    single = members.where("_names = 1").select(*by, "_name", F.col("_gmid").alias("first_id"))
-    keyed = members.where("_names > 1").withColumn("_key", word_key(F.col("_name")))
-    records = keyed.groupBy(*by, "_hist", "_key").agg(F.min("_mid").alias("first_id"), F.sum("_n").alias("_rows")).where("_rows > 1").drop("_rows")
-    classes = single.unionByName(keyed.join(records, [*by, "_hist", "_key"]).select(*by, "_name", "first_id"))
+    group = Window.partitionBy(*by, "_hist")
+    names = names.withColumn("_names", F.count("*").over(group)).withColumn("_rows", F.sum("_n").over(group)).where("_rows > 1")
+    names = names.withColumn("_key", F.when(F.col("_names") > 1, word_key(F.col("_name"))).otherwise(""))
+    record = Window.partitionBy(*by, "_hist", "_key")
+    classes = names.withColumn("first_id", F.min("_mid").over(record)).withColumn("_rows", F.sum("_n").over(record)).where("_rows > 1")
+    classes = classes.select(*by, "_name", "first_id")
     return rows.join(classes, [*by, "_name"]).select(F.col("_id").alias(row_id), F.col("_name").alias(name), "first_id", *by)
 
 
