@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkroll.llm import copies, frequent, lookalikes
+from inkroll.llm import copies, frequent, garbled, lookalikes
 
-_MODULES = (lookalikes, copies, frequent)
+_MODULES = (lookalikes, copies, frequent, garbled)
 
 
 def queries() -> dict:
