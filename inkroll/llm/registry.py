@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkroll.llm import copies, frequent, garbled, lookalikes
+from inkroll.llm import copies, frequent, garbled, lookalikes, variants
 
-_MODULES = (lookalikes, copies, frequent, garbled)
+_MODULES = (lookalikes, copies, frequent, garbled, variants)
 
 
 def queries() -> dict:
