@@ -45,12 +45,12 @@ SHORT_FORMS = """
 abigail: abby gail abbie | alexander: alex xander sasha sandy lex alec | anthony: tony ant | benjamin: ben benny benji | charles: chuck charlie chas | christopher: chris kit topher
 deborah: deb debbie debby | dmitri: dima mitya | edward: ed eddie ned ted teddy | ekaterina: katya katia katja | elizabeth: liz beth betty eliza lizzie bess libby lisa | francisco: paco pancho fran cisco
 friedrich: fritz fred fritzi | gabriella: gabi ella gaby gabby | giuseppe: beppe pino peppe | guillermo: memo guille willy | henrietta: etta hattie hetty | james: jim jamie jimmy | johannes: jan hannes hans
-john: jack johnny jon | joseph: joe jo joey | katherine: kat kathy kate katie kit kitty | lawrence: larry laurie lars | leonardo: leo leon nardo | margaret: maggie meg peggy marge greta | matthias: matt hias
+john: jack johnny jon | joseph: joe jo joey | katherine: kat kathy kate katie kit kitty | lawrence: larry laurie | leonardo: leo leon nardo | margaret: maggie meg peggy marge | matthias: matt hias
 michael: mike mick mickey mikey | nicholas: nick nico nicky | patricia: pat trish patty tricia | penelope: penny nell | richard: rick rich dick ricky richie | robert: bob bobby rob robbie bert | samuel: sam sammy
-susanna: sue sanna susie suzy | theodore: ted theo teddy | thomas: tom tommy | victoria: vicky tori vic | william: bill will billy willy liam | andrew: andy drew | daniel: dan danny | david: dave davey
+susanna: sue sanna susie suzy | theodore: ted theo teddy | thomas: tom tommy | victoria: vicky tori vic | william: bill will billy willy liam | andrew: andy drew | daniel: danny | david: dave davey
 """.replace("\n", "|")
-#: A word is common if it occurs in at least this share of the different names (and in three).
-COMMON = 0.001
+#: A word is common if it occurs in at least this share of the different names (and in eight).
+COMMON = 0.0005
 #: Two spellings of a family name that differ by an accent or a letter stay apart if both are this frequent
 MAJOR = 6
 #: and the rarer one is not rarer than this share of the other.
@@ -113,7 +113,7 @@ def rewrite(name: str, common: frozenset[str]) -> tuple[str, list[tuple]]:
             return cls, found
     if known and rare:
         given = "".join(p for p, _ in known)
-        roots = ROOTS.get(given, ())
+        roots = () if given in common else ROOTS.get(given, ())
         add("f" if len(roots) < 2 else "p", rare, roots[0] if len(roots) == 1 else given, initials[0] if initials else "")
         return cls, found
     pool = rare or known
@@ -159,7 +159,7 @@ def common_words(names: DataFrame) -> frozenset[str]:
     total = names.count()
     # Cased look-alikes and accents are few among common words; they are made plain here.
     words = names.select(F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), "[^\\p{L}\\p{N}]+"), lambda x: F.length(x) > 1))).alias("w"))
-    found = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(3, COMMON * total)).select("w").collect()
+    found = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(8, COMMON * total)).select("w").collect()
     return frozenset(plain(canonical_text(r.w) or "") for r in found)
 
 
@@ -259,7 +259,7 @@ def link_variants(names: DataFrame) -> DataFrame:
     )
     best = edges.groupBy("u").agg(F.max("score").alias("score"))
     top = edges.join(best, ["u", "score"]).groupBy("u", "score", "kind").agg(F.max(F.struct("support", "v"))["v"].alias("v"), F.min("whose").alias("a"), F.max("whose").alias("b"))
-    parents = materialise(top.where("a = b or (kind <> 'i' and score >= 20 and score not between 40 and 41)").select("u", "v", "score"))
+    parents = materialise(top.where("a = b or startswith(b, a) or levenshtein(a, b, 2) between 0 and 2 or (kind <> 'i' and score >= 20 and score not between 40 and 41)").select("u", "v", "score"))
     for _ in range(2):  # smaller spellings point to larger ones; twice covers chains of four
         up = parents.select(F.col("u").alias("v"), F.col("v").alias("w"))
         parents = parents.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), "score")
