@@ -18,7 +18,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkroll.llm.lookalikes import canonical_text
@@ -136,22 +136,23 @@ def _shorter(text: str) -> set[str]:
     return {text, *(text[:i] + text[i + 1 :] for i in range(len(text)))}
 
 
-def forms(kind: str, family: str, given: str, middle: str) -> list[str]:
-    """The join forms of a reading, the rarer a form the fewer entities share it."""
+def exact_forms(kind: str, family: str, given: str, middle: str) -> list[str]:
+    """Forms with the family name as it is: with every initial the given name can have, and without its start."""
     if kind == "m" or len(family) < 2:
         return []
     if kind in "oa":
-        return [f"o{family}|{middle}", *((f"d{x}|{middle}" for x in _shorter(family)) if len(family) > 4 else ())]
-    first = {given[0], *(r[0] for r in ROOTS.get(given, ()))}
-    out = [f"i{family}|{c}" for c in first]
-    if len(given) > 3:
-        out += [f"t{family}|{given[1:]}", f"t{family}|{given[2:]}"]
-    if len(family) > 4:
-        out += [f"e{x}|{c}" for x in _shorter(family) for c in first]
-    return out
+        return [f"o{family}|{middle}"]
+    out = [f"i{family}|{c}" for c in sorted({given[0], *(r[0] for r in ROOTS.get(given, ()))})]
+    return [*out, f"t{family}|{given[1:]}", f"t{family}|{given[2:]}"] if len(given) > 3 else out
 
 
-_PARSED = "name string, weight long, cls string, node string, kind string, family string, accented string, given string, middle string, first boolean"
+def typo_forms(stem: str) -> set[str]:
+    """A form and all its versions with one letter of the family name left out."""
+    family, _, rest = stem.partition("|")
+    return {stem, *(f"{family[:i]}{family[i + 1 :]}|{rest}" for i in range(1, len(family)))}
+
+
+_PARSED = "name string, weight long, cls string, kind string, family string, accented string, given string, middle string, first boolean"
 
 
 def common_words(names: DataFrame) -> frozenset[str]:
@@ -175,25 +176,46 @@ def parse(names: DataFrame, common: frozenset[str]) -> DataFrame:
                 cls, found = rewrite(name, known)
                 if cls:
                     for n, (kind, family, accented, given, middle) in enumerate(found):
-                        rows.append((name, weight, cls, f"{kind}|{accented}|{given}|{middle if kind == 'a' else ''}", kind, family, accented, given, middle, n == 0))
-            columns = list(zip(*rows, strict=True)) or [()] * 10
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 1 else pa.bool_() if k == 9 else pa.string()) for k, c in enumerate(columns)], names=["name", "weight", "cls", "node", "kind", "family", "accented", "given", "middle", "first"])
+                        rows.append((name, weight, cls, kind, family, accented, given, middle, n == 0))
+            columns = list(zip(*rows, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 1 else pa.bool_() if k == 8 else pa.string()) for k, c in enumerate(columns)], names=["name", "weight", "cls", "kind", "family", "accented", "given", "middle", "first"])
 
     return names.select("name", "weight").mapInArrow(run, _PARSED)
 
 
+def _key(*parts: Column | str) -> Column:
+    """40 bits of a hash: what meets by chance is told apart by the score, and the zero bytes compress away."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 24)
+
+
 def _explode_forms(nodes: DataFrame) -> DataFrame:
+    """``node, form``: the exact forms."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, out = [], []
             for r, reading in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True)):
-                found = forms(*reading)
+                found = exact_forms(*reading)
+                out += found
+                index += [r] * len(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(out, pa.string())], names=["node", "form"])
+
+    return nodes.select("node", "kind", "family", "given", "middle").mapInArrow(run, "node bigint, form string")
+
+
+def _explode_typos(stems: DataFrame) -> DataFrame:
+    """``stem`` (its key) and ``form``: all forms of a stem with one letter less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, out = [], []
+            for r, stem in enumerate(batch.column(1).to_pylist()):
+                found = typo_forms(stem)
                 out += found
                 index += [r] * len(found)
-            at = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(out, pa.string())], names=["node", "form"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(out, pa.string())], names=["stem", "form"])
 
-    return nodes.select("node", "kind", "family", "given", "middle").mapInArrow(run, "node string, form string").select("node", F.xxhash64("form").alias("form"))
+    return stems.select(_key("form").alias("stem"), "form").mapInArrow(run, "stem bigint, form string").select("stem", _key("form").alias("form"))
 
 
 def _one_off(a: Column, b: Column) -> Column:
@@ -214,7 +236,7 @@ def _score(u: str, v: str) -> Column:
     prefix = (F.length(given_u) > 1) & (given_u != given_v) & F.startswith(given_v, given_u)
     typo = c(u, "kind").isin("p", "w") & (F.length(given_u) > 2) & _one_off(given_u, given_v)
     major = (F.least(c(u, "support"), c(v, "support")) >= MAJOR) & (c(u, "support") >= MAJOR_SHARE * c(v, "support"))
-    smaller = F.struct(c(u, "support"), c(u, "node")) < F.struct(c(v, "support"), c(v, "node"))
+    smaller = F.struct(c(u, "support"), c(u, "accented"), c(u, "given")) < F.struct(c(v, "support"), c(v, "accented"), c(v, "given"))
     grows = (c(v, "kind") == "f") & (c(u, "kind") != "f") | smaller
     by_person = (
         F.when(same & (given_u == given_v) & (c(u, "kind") != "i"), F.when(~major & grows, 60))
@@ -241,35 +263,47 @@ def link_variants(names: DataFrame) -> DataFrame:
     """The entity of every spelling: ``name``, ``cls`` (spellings equal but for format), ``entity``.
 
     ``names`` has one row per different ``name`` (not null) and its ``weight`` in rows. Empty names and names without letters
-    or digits get no row; an empty table gives none.
+    or digits get no row; an empty table gives none. Spellings of one class always share their entity.
+    Forms, nodes and classes are numbers in all joins. Stems (family name and initial) get their forms with one letter less
+    once, however many given names and spellings they have.
     """
-    parsed = materialise(parse(spread(names), common_words(names)))
-    nodes = parsed.groupBy("node").agg(F.sum("weight").alias("support"), *[F.max(c).alias(c) for c in ("kind", "family", "accented", "given", "middle")])
-    pairs = [F.array(F.lit(k), F.lit(" ".join(v))) for k, v in sorted(ROOTS.items())]
-    nodes = nodes.withColumn("roots", F.coalesce(F.create_map(*[x for p in pairs for x in (p[0], p[1])])[F.col("given")], F.lit("")))
+    parsed = materialise(parse(spread(names), common_words(names)).withColumn("cls", F.xxhash64("cls")))
+    key = ["kind", "accented", "given", "acronym"]
+    parsed = parsed.withColumn("acronym", F.when(F.col("kind") == "a", F.col("middle")).otherwise("")).withColumn("node", F.xxhash64(*key))
+    nodes = parsed.groupBy("node").agg(F.sum("weight").alias("support"), F.max("middle").alias("middle"), *[F.any_value(c).alias(c) for c in ("kind", "family", "accented", "given")])
     nodes = materialise(nodes)
-    exploded = _explode_forms(nodes)
-    shared = exploded.alias("a").join(exploded.alias("b"), (F.col("a.form") == F.col("b.form")) & (F.col("a.node") != F.col("b.node")))
-    meets = shared.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).where(~F.substring("v", 1, 1).isin("w", "i", "a")).distinct()
+    forms = _explode_forms(nodes)
+    stems = forms.where(~F.startswith("form", F.lit("t")) & (F.length("form") > 7)).select("form").distinct()
+    typos = _explode_typos(stems)
+    exact = forms.select("node", _key("form").alias("form"))
+    meets = exact.alias("a").join(exact.alias("b"), (F.col("a.form") == F.col("b.form")) & (F.col("a.node") != F.col("b.node"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    near = typos.alias("a").join(typos.alias("b"), (F.col("a.form") == F.col("b.form")) & (F.col("a.stem") != F.col("b.stem"))).select(F.col("a.stem").alias("a"), F.col("b.stem").alias("b")).distinct()
+    far = near.join(exact.select(F.col("node").alias("u"), F.col("form").alias("a")), "a").join(exact.select(F.col("node").alias("v"), F.col("form").alias("b")), "b").select("u", "v")
+    roots = F.create_map(*[F.lit(x) for k, v in sorted(ROOTS.items()) for x in (k, " ".join(v))])
+    sides = nodes.withColumn("roots", F.coalesce(roots[F.col("given")], F.lit("")))
     edges = (
-        meets.join(nodes.select([F.col(c).alias(c) for c in nodes.columns]).alias("u"), F.col("u") == F.col("u.node"))
-        .join(nodes.alias("v"), F.col("v") == F.col("v.node"))
+        meets.unionByName(far)
+        .distinct()
+        .join(sides.where("kind <> 'm'").alias("u"), F.col("u") == F.col("u.node"))
+        .join(nodes.where("kind in ('f', 'p', 'o')").alias("v"), F.col("v") == F.col("v.node"))
         .select(F.col("u.node").alias("u"), F.col("v.node").alias("v"), F.col("v.support").alias("support"), F.concat_ws("|", "v.family", "v.given").alias("whose"), F.col("u.kind").alias("kind"), _score("u", "v").alias("score"))
         .where("score is not null")
     )
-    best = edges.groupBy("u").agg(F.max("score").alias("score"))
-    top = edges.join(best, ["u", "score"]).groupBy("u", "score", "kind").agg(F.max(F.struct("support", "v"))["v"].alias("v"), F.min("whose").alias("a"), F.max("whose").alias("b"))
+    ranked = edges.withColumn("_best", F.max("score").over(Window.partitionBy("u"))).where("score = _best")
+    top = ranked.groupBy("u", "score", "kind").agg(F.max(F.struct("support", "v"))["v"].alias("v"), F.min("whose").alias("a"), F.max("whose").alias("b"))
     parents = materialise(top.where("a = b or startswith(b, a) or levenshtein(a, b, 2) between 0 and 2 or (kind <> 'i' and score >= 20 and score not between 40 and 41)").select("u", "v", "score"))
     for _ in range(2):  # smaller spellings point to larger ones; twice covers chains of four
-        up = parents.select(F.col("u").alias("v"), F.col("v").alias("w"))
-        parents = parents.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), "score")
+        parents = parents.join(parents.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left").select("u", F.coalesce("w", "v").alias("v"), "score")
     chosen = parsed.select("name", "cls", "node", "first").join(parents.withColumnRenamed("u", "node"), "node", "left")
     rank = F.struct(F.coalesce("score", F.when(F.col("first"), 0).otherwise(-1)).alias("score"), F.coalesce("v", "node").alias("entity"))
     return chosen.groupBy("name", "cls").agg(F.max(rank)["entity"].alias("entity"))
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:
-    """All pairs of spellings of one entity that differ by more than format or look-alike characters."""
+    """All pairs of spellings of one entity that differ by more than format or look-alike characters.
+
+    Only entities with several classes are joined with themselves; the copies within a class make no pairs.
+    """
     several = linked.groupBy("entity").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("entity")
     members = linked.join(several, "entity", "left_semi")
     left, right = members.alias("l"), members.alias("r")
@@ -278,7 +312,7 @@ def variant_pairs(linked: DataFrame) -> DataFrame:
 
 def _names(spark: SparkSession, folder: str) -> DataFrame:
     both = table(spark, folder, "author_counts").select(F.col("author").alias("name")).unionByName(table(spark, folder, "scored_candidates").select(F.col("candidate").alias("name")))
-    return both.where("name is not null").groupBy("name").agg(F.count("*").alias("weight"))
+    return materialise(both.where("name is not null").groupBy("name").agg(F.count("*").alias("weight")))
 
 
 def p1_entities(spark: SparkSession, folder: str) -> DataFrame:
