@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkroll.session import materialise
 from inkroll.sources.tables import table
 
 
@@ -53,7 +54,7 @@ def copy_classes(df: DataFrame, row_id: str, keys: list[str], name: str) -> Data
     by = list(plain.values())
     rows = rows.withColumn("_h", F.xxhash64(*by, *_cheap(F.col("_name"))))
     several = rows.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
-    rows = rows.join(several, "_h", "left_semi").drop("_h")
+    rows = materialise(rows.join(several, "_h", "left_semi").drop("_h"))  # a few per cent of the rows, read twice below
     names = rows.groupBy(*by, "_name").agg(F.min("_id").alias("_mid"), F.count("*").alias("_n"))
     names = names.withColumn("_hist", F.xxhash64(F.array_sort(F.split(letters(F.col("_name")), ""))))
     group = Window.partitionBy(*by, "_hist")
