@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkroll.llm import copies, frequent, garbled, lookalikes, variants
+from inkroll.llm import copies, frequent, garbled, lookalikes, mixing, packing, variants
 
-_MODULES = (lookalikes, copies, frequent, garbled, variants)
+_MODULES = (lookalikes, copies, frequent, garbled, variants, packing, mixing)
 
 
 def queries() -> dict:
