@@ -81,7 +81,14 @@ def mix(sized: DataFrame, key: str, source: str, tokens: str, targets: DataFrame
     inside = Window.partitionBy("source", "_b").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, -1)
     lined = placed.where(F.col("source").isin(names)).withColumn("_in", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     lined = lined.join(starts, ["source", "_b"]).join(F.broadcast(plans), "source").withColumn("_at", F.col("_from") + F.col("_in"))
-    extra = (F.col("_rest") > 0) & (F.col("_at") + F.col("tokens") / 2 <= F.col("_rest"))
+    lined = materialise(lined.drop("_h", "_b", "_from", "_in"))
+    # Whole texts up to the rest of the demand, then the one text that fills the remaining gap best.
+    fits = (F.col("_rest") > 0) & (F.col("_at") + F.col("tokens") <= F.col("_rest"))
+    gaps = lined.where("_rest > 0").groupBy("source").agg((F.max("_rest") - F.sum(F.when(fits, F.col("tokens")).otherwise(0))).alias("_gap"))
+    small = lined.join(F.broadcast(gaps), "source").where(~fits & (F.col("tokens") > 0) & (F.col("tokens") <= F.col("_gap")))
+    picks = small.groupBy("source").agg(F.max(F.struct("tokens", "_at")).alias("_pick"))  # one row per listed source
+    lined = lined.join(F.broadcast(picks), "source", "left")
+    extra = fits | F.coalesce((F.col("_pick.tokens") == F.col("tokens")) & (F.col("_pick._at") == F.col("_at")), F.lit(False))
     used = lined.select(F.col("_id").alias(key), "source", "tokens", F.least(F.col("_passes") + extra.cast("int"), F.col("_most")).alias("uses"), "_at", "_available", "_demand", "_slope", "_total")
     idle = docs.where(F.col("source").isNull() | ~F.col("source").isin(names)).select(
         F.col("_id").alias(key), "source", "tokens", F.lit(0).alias("uses"), *[F.lit(None).cast(t).alias(c) for c, t in (("_at", "long"), ("_available", "double"), ("_demand", "double"), ("_slope", "double"), ("_total", "double"))]
