@@ -20,6 +20,8 @@ from inkroll.sources.tables import table
 
 #: Hash buckets per source: running sums are taken within a bucket and over the sums of buckets, so no task reads a whole source.
 BUCKETS = 4096
+#: The last, partial pass through a source takes only texts up to this part of what it needs, so that one text cannot upset a share.
+FINE = 0.125
 #: How much the weight of the source with the most repeats rises from the start to the end, relative to its mean, at most 1.
 RAMP = 0.5
 
@@ -61,7 +63,8 @@ def mix(sized: DataFrame, key: str, source: str, tokens: str, targets: DataFrame
 
     ``targets`` is the small configuration table (source, target_share, max_repeats). Texts of sources
     that are not listed, or without a source, are used 0 times; a text without tokens is used as often as
-    its source is passed through in full. Repeated rows are texts of their own. Each source reaches its share up to one text.
+    its source is passed through in full. Repeated rows are texts of their own. Each source
+    reaches its share up to a fraction of one text, if it has texts small enough.
     What reaches the driver is one row per listed source. A source of any size is spread over `BUCKETS` tasks.
     """
     docs = sized.select(F.col(key).alias("_id"), F.col(source).alias("source"), F.col(tokens).cast("long").alias("tokens"))
@@ -76,14 +79,17 @@ def mix(sized: DataFrame, key: str, source: str, tokens: str, targets: DataFrame
         [(x["source"], x["passes"], x["rest"], float(x["available"]), x["demand"], x["slope"], x["max_repeats"], x["total"]) for x in plan],
         "source string, _passes int, _rest double, _available double, _demand double, _slope double, _most int, _total double",
     )
+    known = placed.join(F.broadcast(plans), "source")  # as many rows as the configuration lists
+    known = known.withColumn("_small", F.when(F.col("tokens") <= F.col("_rest") * FINE, F.col("tokens")).otherwise(0))
     before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_from"))
+    starts = known.groupBy("source", "_b").agg(F.sum("tokens").alias("_t"), F.sum("_small").alias("_s"))
+    starts = starts.select("source", "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_from"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_part_from"))
     inside = Window.partitionBy("source", "_b").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    lined = placed.where(F.col("source").isin(names)).withColumn("_in", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-    lined = lined.join(starts, ["source", "_b"]).join(F.broadcast(plans), "source").withColumn("_at", F.col("_from") + F.col("_in"))
-    lined = materialise(lined.drop("_h", "_b", "_from", "_in"))
+    lined = known.withColumn("_in", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).withColumn("_part_in", F.coalesce(F.sum("_small").over(inside), F.lit(0)))
+    lined = lined.join(starts, ["source", "_b"]).withColumn("_at", F.col("_from") + F.col("_in")).withColumn("_part", F.col("_part_from") + F.col("_part_in"))
+    lined = materialise(lined.drop("_h", "_b", "_from", "_in", "_part_from", "_part_in"))
     # Whole texts up to the rest of the demand, then the one text that fills the remaining gap best.
-    fits = (F.col("_rest") > 0) & (F.col("_at") + F.col("tokens") <= F.col("_rest"))
+    fits = (F.col("_rest") > 0) & (F.col("_small") == F.col("tokens")) & (F.col("_part") + F.col("tokens") <= F.col("_rest"))
     gaps = lined.where("_rest > 0").groupBy("source").agg((F.max("_rest") - F.sum(F.when(fits, F.col("tokens")).otherwise(0))).alias("_gap"))
     small = lined.join(F.broadcast(gaps), "source").where(~fits & (F.col("tokens") > 0) & (F.col("tokens") <= F.col("_gap")))
     picks = small.groupBy("source").agg(F.max(F.struct("tokens", "_at")).alias("_pick"))  # one row per listed source
