@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkroll.llm import copies, frequent, garbled, lookalikes, mixing, packing, variants
+from inkroll.llm import copies, frequent, garbled, lookalikes, mixing, packing, sentences, variants
 
-_MODULES = (lookalikes, copies, frequent, garbled, variants, packing, mixing)
+_MODULES = (lookalikes, copies, frequent, garbled, variants, packing, mixing, sentences)
 
 
 def queries() -> dict:
