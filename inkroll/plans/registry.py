@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkroll.plans import splitting
+from inkroll.plans import queries as core
+from inkroll.plans import splitting, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**splitting.QUERIES}
+    return {**core.QUERIES, **splitting.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
