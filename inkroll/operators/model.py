@@ -60,7 +60,7 @@ def tfidf_stages(df: DataFrame) -> list:
     return [counts, scale, Normalizer(p=2.0, inputCol="scaled", outputCol="tfidf")]
 
 
-def fit_model(train: DataFrame, max_iter: int = 2000, tol: float = 1e-6) -> PipelineModel:
+def fit_model(train: DataFrame, max_iter: int = 2000, tol: float = 1e-5) -> PipelineModel:
     """Fit on ``candidate, label``; classes weigh n / (2 n_class), L2 with C = 1, unscaled features."""
     featured = CandidateFeatures().transform(train.select("candidate", F.col("label").cast("double").alias("label"))).cache()
     try:
