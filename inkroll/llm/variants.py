@@ -152,7 +152,7 @@ def typo_forms(stem: str) -> set[str]:
     return {stem, *(f"{family[:i]}{family[i + 1 :]}|{rest}" for i in range(1, len(family)))}
 
 
-_PARSED = "name string, weight long, cls string, kind string, family string, accented string, given string, middle string, first boolean"
+_PARSED = "name string, weight long, cls string, kind string, family string, accented string, given string, middle string, first boolean, several boolean"
 
 
 def common_words(names: DataFrame) -> frozenset[str]:
@@ -176,9 +176,9 @@ def parse(names: DataFrame, common: frozenset[str]) -> DataFrame:
                 cls, found = rewrite(name, known)
                 if cls:
                     for n, (kind, family, accented, given, middle) in enumerate(found):
-                        rows.append((name, weight, cls, kind, family, accented, given, middle, n == 0))
-            columns = list(zip(*rows, strict=True)) or [()] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 1 else pa.bool_() if k == 8 else pa.string()) for k, c in enumerate(columns)], names=["name", "weight", "cls", "kind", "family", "accented", "given", "middle", "first"])
+                        rows.append((name, weight, cls, kind, family, accented, given, middle, n == 0, len(found) > 1))
+            columns = list(zip(*rows, strict=True)) or [()] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 1 else pa.bool_() if k > 7 else pa.string()) for k, c in enumerate(columns)], names=["name", "weight", "cls", "kind", "family", "accented", "given", "middle", "first", "several"])
 
     return names.select("name", "weight").mapInArrow(run, _PARSED)
 
@@ -188,23 +188,33 @@ def _key(*parts: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 24)
 
 
+_SIDE = "node bigint, kind string, family string, accented string, given string, middle string, support bigint"
+
+
 def _explode_forms(nodes: DataFrame) -> DataFrame:
-    """``node, form``: the exact forms."""
+    """All columns of a reading for each of its exact forms: ``key``, and ``stem`` where it has typo forms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, out = [], []
-            for r, reading in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True)):
-                found = exact_forms(*reading)
-                out += found
-                index += [r] * len(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(out, pa.string())], names=["node", "form"])
+            index, out, stems = [], [], []
+            for r, reading in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 4, 5)), strict=True)):
+                for form in exact_forms(*reading):
+                    index.append(r)
+                    out.append(form)
+                    stems.append(form[0] != "t" and len(reading[1]) > 4)
+            at = pa.array(index, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(7)), pa.array(out, pa.string()), pa.array(stems, pa.bool_())], names=[x.split()[0] for x in _SIDE.split(", ")] + ["form", "typos"])
+
+    found = nodes.select(*[x.split()[0] for x in _SIDE.split(", ")]).mapInArrow(run, _SIDE + ", form string, typos boolean")
+    return found.select("*", _key("form").alias("key"))
 
-    return nodes.select("node", "kind", "family", "given", "middle").mapInArrow(run, "node bigint, form string")
 
+def _near_stems(stems: DataFrame) -> DataFrame:
+    """Pairs of stems that share a form with one letter less.
 
-def _explode_typos(stems: DataFrame) -> DataFrame:
-    """``stem`` (its key) and ``form``: all forms of a stem with one letter less."""
+    The stems of one form are gathered in an array. That is bounded by the alphabet: all of them are
+    the form with one letter put in somewhere, and each stem occurs once, however many rows it stands for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +225,9 @@ def _explode_typos(stems: DataFrame) -> DataFrame:
                 index += [r] * len(found)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(out, pa.string())], names=["stem", "form"])
 
-    return stems.select(_key("form").alias("stem"), "form").mapInArrow(run, "stem bigint, form string").select("stem", _key("form").alias("form"))
+    forms = stems.select("key", "form").mapInArrow(run, "stem bigint, form string").select("stem", _key("form").alias("form"))
+    shared = forms.groupBy("form").agg(F.collect_list("stem").alias("stems")).where(F.size("stems") > 1)
+    return shared.select(F.explode("stems").alias("a"), "stems").select("a", F.explode("stems").alias("b")).where("a <> b").distinct()
 
 
 def _one_off(a: Column, b: Column) -> Column:
@@ -224,15 +236,17 @@ def _one_off(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1).between(0, 1) | swapped
 
 
-def _score(u: str, v: str) -> Column:
-    """How rare the rewriting is that makes reading ``u`` one of ``v``; null if none does."""
-    c = lambda side, name: F.col(f"{side}.{name}")
+def _score() -> Column:
+    """How rare the rewriting is that makes reading u one of v; null if none does."""
+    u, v = "u", "v"
+    roots = F.create_map(*[F.lit(x) for k, r in sorted(ROOTS.items()) for x in (k, " ".join(r))])
+    c = lambda side, name: F.col(f"{side}_{name}")
     same, given_u, given_v = c(u, "family") == c(v, "family"), c(u, "given"), c(v, "given")
     near = _one_off(c(u, "family"), c(v, "family")) & (F.length(c(u, "family")) > 3)
     person = c(v, "kind").isin("f", "p") & c(u, "kind").isin("f", "p", "w", "i")
     middle = (c(u, "middle") == "") | (c(v, "middle") == "") | (c(u, "middle") == c(v, "middle"))
     initial = (c(u, "kind") == "i") & F.startswith(given_v, given_u) & middle
-    short = F.array_contains(F.split(c(u, "roots"), " "), given_v)
+    short = F.coalesce(F.array_contains(F.split(roots[given_u], " "), given_v), F.lit(False))
     prefix = (F.length(given_u) > 1) & (given_u != given_v) & F.startswith(given_v, given_u)
     typo = c(u, "kind").isin("p", "w") & (F.length(given_u) > 2) & _one_off(given_u, given_v)
     major = (F.least(c(u, "support"), c(v, "support")) >= MAJOR) & (c(u, "support") >= MAJOR_SHARE * c(v, "support"))
@@ -271,32 +285,25 @@ def link_variants(names: DataFrame) -> DataFrame:
     key = ["kind", "accented", "given", "acronym"]
     parsed = parsed.withColumn("acronym", F.when(F.col("kind") == "a", F.col("middle")).otherwise("")).withColumn("node", F.xxhash64(*key))
     nodes = parsed.groupBy("node").agg(F.sum("weight").alias("support"), F.max("middle").alias("middle"), *[F.any_value(c).alias(c) for c in ("kind", "family", "accented", "given")])
-    nodes = materialise(nodes)
-    forms = _explode_forms(nodes)
-    stems = forms.where(~F.startswith("form", F.lit("t")) & (F.length("form") > 7)).select("form").distinct()
-    typos = _explode_typos(stems)
-    exact = forms.select("node", _key("form").alias("form"))
-    meets = exact.alias("a").join(exact.alias("b"), (F.col("a.form") == F.col("b.form")) & (F.col("a.node") != F.col("b.node"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    near = typos.alias("a").join(typos.alias("b"), (F.col("a.form") == F.col("b.form")) & (F.col("a.stem") != F.col("b.stem"))).select(F.col("a.stem").alias("a"), F.col("b.stem").alias("b")).distinct()
-    far = near.join(exact.select(F.col("node").alias("u"), F.col("form").alias("a")), "a").join(exact.select(F.col("node").alias("v"), F.col("form").alias("b")), "b").select("u", "v")
-    roots = F.create_map(*[F.lit(x) for k, v in sorted(ROOTS.items()) for x in (k, " ".join(v))])
-    sides = nodes.withColumn("roots", F.coalesce(roots[F.col("given")], F.lit("")))
-    edges = (
-        meets.unionByName(far)
-        .distinct()
-        .join(sides.where("kind <> 'm'").alias("u"), F.col("u") == F.col("u.node"))
-        .join(nodes.where("kind in ('f', 'p', 'o')").alias("v"), F.col("v") == F.col("v.node"))
-        .select(F.col("u.node").alias("u"), F.col("v.node").alias("v"), F.col("v.support").alias("support"), F.concat_ws("|", "v.family", "v.given").alias("whose"), F.col("u.kind").alias("kind"), _score("u", "v").alias("score"))
-        .where("score is not null")
-    )
+    exact = materialise(_explode_forms(nodes))
+    near = _near_stems(exact.where("typos").select("key", "form").distinct())
+    sides = exact.drop("form", "typos")
+    u, v = sides.alias("u"), sides.alias("v")
+    target = F.col("v.kind").isin("f", "p", "o")
+    columns = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "uv" for c in sides.columns if c != "key"]
+    meets = u.join(v, (F.col("u.key") == F.col("v.key")) & (F.col("u.node") != F.col("v.node")) & target).select(*columns)
+    far = u.join(near, F.col("u.key") == F.col("a")).join(v, (F.col("b") == F.col("v.key")) & target).select(*columns)
+    edges = meets.unionByName(far).withColumn("score", _score()).where("score is not null")
+    edges = edges.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), F.col("v_support").alias("support"), F.concat_ws("|", "v_family", "v_given").alias("whose"), F.col("u_kind").alias("kind"), "score")
     ranked = edges.withColumn("_best", F.max("score").over(Window.partitionBy("u"))).where("score = _best")
     top = ranked.groupBy("u", "score", "kind").agg(F.max(F.struct("support", "v"))["v"].alias("v"), F.min("whose").alias("a"), F.max("whose").alias("b"))
     parents = materialise(top.where("a = b or startswith(b, a) or levenshtein(a, b, 2) between 0 and 2 or (kind <> 'i' and score >= 20 and score not between 40 and 41)").select("u", "v", "score"))
     for _ in range(2):  # smaller spellings point to larger ones; twice covers chains of four
         parents = parents.join(parents.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left").select("u", F.coalesce("w", "v").alias("v"), "score")
-    chosen = parsed.select("name", "cls", "node", "first").join(parents.withColumnRenamed("u", "node"), "node", "left")
+    chosen = parsed.select("name", "cls", "node", "first", "several").join(parents.withColumnRenamed("u", "node"), "node", "left")
     rank = F.struct(F.coalesce("score", F.when(F.col("first"), 0).otherwise(-1)).alias("score"), F.coalesce("v", "node").alias("entity"))
-    return chosen.groupBy("name", "cls").agg(F.max(rank)["entity"].alias("entity"))
+    single = chosen.where("not several").select("name", "cls", F.coalesce("v", "node").alias("entity"))
+    return single.unionByName(chosen.where("several").groupBy("name", "cls").agg(F.max(rank)["entity"].alias("entity")))
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:
@@ -304,6 +311,7 @@ def variant_pairs(linked: DataFrame) -> DataFrame:
 
     Only entities with several classes are joined with themselves; the copies within a class make no pairs.
     """
+    linked = materialise(linked)
     several = linked.groupBy("entity").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("entity")
     members = linked.join(several, "entity", "left_semi")
     left, right = members.alias("l"), members.alias("r")
