@@ -15,27 +15,23 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 RECORD = "id string, authors string"
 
 
-@F.pandas_udf(T.BooleanType())
-def _is_json_object(lines: pd.Series) -> pd.Series:
-    """Strict JSON: Spark's parsers accept text after the object."""
+_PARSED = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("id", T.StringType()), T.StructField("authors", T.StringType())])
 
-    def ok(line: str) -> bool:
-        try:
-            return isinstance(json.loads(line), dict)
-        except ValueError:
-            return False
-
-    return lines.map(ok)
 
+@F.pandas_udf(_PARSED)
+def _parse(lines: pd.Series) -> pd.DataFrame:
+    """Strict JSON (Spark's parsers accept text after the object): whether a line is an object, and its two fields."""
 
-@F.pandas_udf("id string, authors string")
-def _two_fields(lines: pd.Series) -> pd.DataFrame:
-    def pick(line: str) -> tuple[str | None, str | None]:
-        got = json.loads(line)
-        values = (got.get("id", ""), got.get("authors", ""))
-        return tuple(x if isinstance(x, str) else None for x in values)
+    def one(line: str | None) -> tuple[bool, str | None, str | None]:
+        try:
+            got = json.loads(line or "")
+        except ValueError:
+            return False, None, None
+        if not isinstance(got, dict):
+            return False, None, None
+        return True, *(x if isinstance(x, str) else None for x in (got.get("id", ""), got.get("authors", "")))
 
-    return pd.DataFrame([pick(x) for x in lines], columns=["id", "authors"], dtype=object)
+    return pd.DataFrame([one(x) for x in lines], columns=["valid", "id", "authors"], dtype=object).astype({"valid": bool})
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +55,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     A missing key gives an empty string; values of other types give null.
     """
     body = F.trim(F.col("line"))
-    return lines.where((body != "") & _is_json_object(body)).withColumn("_r", _two_fields(body)).select("line_no", "_r.id", "_r.authors")
+    return lines.where(body != "").withColumn("_r", _parse(body)).where("_r.valid").select("line_no", "_r.id", "_r.authors")
 
 
 def records(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
