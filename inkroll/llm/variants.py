@@ -289,11 +289,11 @@ def link_variants(names: DataFrame) -> DataFrame:
     near = _near_stems(exact.where("typos").select("key", "form").distinct())
     sides = exact.drop("form", "typos")
     u, v = sides.alias("u"), sides.alias("v")
-    target = F.col("v.kind").isin("f", "p", "o")
     columns = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "uv" for c in sides.columns if c != "key"]
-    meets = u.join(v, (F.col("u.key") == F.col("v.key")) & (F.col("u.node") != F.col("v.node")) & target).select(*columns)
-    far = u.join(near, F.col("u.key") == F.col("a")).join(v, (F.col("b") == F.col("v.key")) & target).select(*columns)
-    edges = meets.unionByName(far).withColumn("score", _score()).where("score is not null")
+    meets = u.join(v, (F.col("u.key") == F.col("v.key"))).select(*columns)
+    far = u.join(near, F.col("u.key") == F.col("a")).join(v, F.col("b") == F.col("v.key")).select(*columns)
+    # Conditions on one side stay out of the joins, so that all four sides read one and the same exchange.
+    edges = meets.unionByName(far).withColumn("score", F.when(F.col("u_node") != F.col("v_node"), _score())).where("score is not null")
     edges = edges.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), F.col("v_support").alias("support"), F.concat_ws("|", "v_family", "v_given").alias("whose"), F.col("u_kind").alias("kind"), "score")
     ranked = edges.withColumn("_best", F.max("score").over(Window.partitionBy("u"))).where("score = _best")
     top = ranked.groupBy("u", "score", "kind").agg(F.max(F.struct("support", "v"))["v"].alias("v"), F.min("whose").alias("a"), F.max("whose").alias("b"))
