@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkroll.sources.tables import table
@@ -55,6 +55,10 @@ def _frame(node: int, s: Summary) -> pd.DataFrame:
     return pd.DataFrame({"node": node, "item": items, "low": [s.low.get(x, 0) for x in items], "slack": [s.slack.get(x, 0) for x in items], "floor": s.floor, "total": s.total})
 
 
+def _weight(column: str) -> Column:
+    return F.greatest(F.coalesce(F.col(column).cast("long"), F.lit(0)), F.lit(0))
+
+
 def summaries(df: DataFrame, item: str, weight: str | None, capacity: int) -> DataFrame:
     """One summary per partition; memory is bounded by ``capacity`` and one Arrow batch, no shuffle."""
 
@@ -71,7 +75,7 @@ def summaries(df: DataFrame, item: str, weight: str | None, capacity: int) -> Da
             summary.add([x for x, _ in pairs], [c for _, c in pairs], [0] * len(pairs), 0, sum(c for c in counts if c > 0))
         yield pa.RecordBatch.from_pandas(_frame(TaskContext.get().partitionId(), summary), preserve_index=False)
 
-    return df.select(item, *([F.col(weight).cast("long").alias(weight)] if weight else [])).mapInArrow(run, _SCHEMA)
+    return df.select(item, *([_weight(weight).alias(weight)] if weight else [])).mapInArrow(run, _SCHEMA)
 
 
 def merge_tree(parts: DataFrame, partitions: int, capacity: int) -> DataFrame:
@@ -111,7 +115,7 @@ def frequent(df: DataFrame, item: str, share: float, weight: str | None = None)
     on the data, hence the broadcast; the counts combine before the only shuffle.
     """
     found = candidates(df, item, share, weight)
-    rows = df.select(F.col(item).alias("item"), (F.greatest(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(1)).alias("_w"))
+    rows = df.select(F.col(item).alias("item"), (_weight(weight) if weight else F.lit(1)).alias("_w"))
     exact = rows.join(F.broadcast(found), "item").groupBy("item", "at_least", "at_most", "total").agg(F.sum("_w").cast("long").alias("frequency"))
     return exact.where(F.col("frequency") >= F.col("total") * share)
 
