@@ -147,7 +147,7 @@ def exact_forms(kind: str, family: str, given: str, middle: str) -> list[str]:
 
 
 def typo_forms(stem: str) -> set[str]:
-    """A form and all its versions with one letter of the family name left out."""
+    """A form and its versions with one letter of the family name left out, a run of equal letters once."""
     family, _, rest = stem.partition("|")
     return {stem, *(f"{family[:i]}{family[i + 1 :]}|{rest}" for i in range(1, len(family)))}
 
@@ -226,7 +226,8 @@ def _near_stems(stems: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(out, pa.string())], names=["stem", "form"])
 
     forms = stems.select("key", "form").mapInArrow(run, "stem bigint, form string").select("stem", _key("form").alias("form"))
-    shared = forms.groupBy("form").agg(F.collect_list("stem").alias("stems")).where(F.size("stems") > 1)
+    # Numbers are shuffled as they are: partial arrays of one element would be larger.
+    shared = forms.repartition("form").groupBy("form").agg(F.collect_list("stem").alias("stems")).where(F.size("stems") > 1)
     return shared.select(F.explode("stems").alias("a"), "stems").select("a", F.explode("stems").alias("b")).where("a <> b").distinct()
 
 
@@ -311,9 +312,8 @@ def variant_pairs(linked: DataFrame) -> DataFrame:
 
     Only entities with several classes are joined with themselves; the copies within a class make no pairs.
     """
-    linked = materialise(linked)
     several = linked.groupBy("entity").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("entity")
-    members = linked.join(several, "entity", "left_semi")
+    members = materialise(linked.join(several, "entity", "left_semi"))
     left, right = members.alias("l"), members.alias("r")
     return left.join(right, (F.col("l.entity") == F.col("r.entity")) & (F.col("l.cls") != F.col("r.cls")) & (F.col("l.name") < F.col("r.name"))).select(F.col("l.name").alias("name_1"), F.col("r.name").alias("name_2"))
 
