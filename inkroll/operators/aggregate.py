@@ -74,11 +74,49 @@ def overview(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.countDistinct(value).alias("unique"))
 
 
+#: Rank accuracy of the sketch that brackets a quantile: at most 4 / ACCURACY of the rows are looked at closely.
+ACCURACY = 10_000
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """Exact quantiles by linear interpolation, one row with columns ``q0, q1, ...``; nulls of an empty table.
+
+    A mergeable sketch brackets each quantile, the rows below the bracket are counted, and only the
+    different values inside it are sorted. So no task holds all values, as a plain exact percentile would.
+    """
+    x = F.col(column).cast("double")
+    some = df.where(x.isNotNull()).select(x.alias("_x"))
+    n = some.count()
+    if not n:
+        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(f"q{k}") for k in range(len(shares))])
+    reach = 2 / ACCURACY + 2 / n  # the error of the sketch, and the neighbour needed to interpolate
+    around = [min(1.0, max(0.0, p + side * reach)) for p in shares for side in (-1, 1)]
+    bounds = some.agg(F.percentile_approx("_x", around, ACCURACY).alias("b")).first().b  # one small row
+    brackets = [(k, p, bounds[2 * k], bounds[2 * k + 1]) for k, p in enumerate(shares)]
+    below = some.agg(*[F.count_if(F.col("_x") < lo).alias(f"_b{k}") for k, _, lo, _ in brackets])
+    inside = F.filter(F.array(*[F.when(F.col("_x").between(lo, hi), F.lit(k)) for k, _, lo, hi in brackets]), lambda k: k.isNotNull())
+    near = some.withColumn("_k", F.explode(inside)).groupBy("_k", "_x").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_k").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    placed = near.withColumn("_to", upto).join(F.broadcast(below))  # one row
+
+    def at(k: int, rank: int) -> Column:
+        end = F.col(f"_b{k}") + F.col("_to")
+        return F.max(F.when((F.col("_k") == k) & (end > rank) & (end - F.col("_n") <= rank), F.col("_x")))
+
+    values = []
+    for k, p, _, _ in brackets:
+        place = (n - 1) * p
+        low = int(place)
+        values.append((at(k, low) + (at(k, min(low + 1, n - 1)) - at(k, low)) * (place - low)).alias(f"q{k}"))
+    return placed.agg(*values)
+
+
 def describe(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, sample deviation, least, quartiles by linear interpolation and largest value; nulls are left out."""
     c = F.col(column).cast("double")
-    q = [F.percentile(c, F.lit(p)).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-    return df.where(c.isNotNull()).agg(F.count("*").alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *q, F.max(c).alias("max"))
+    main = df.where(c.isNotNull()).agg(F.count("*").alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    q = quantiles(df, column, [0.25, 0.5, 0.75]).toDF("p25", "p50", "p75")
+    return main.join(F.broadcast(q)).select("count", "mean", "std", "min", "p25", "p50", "p75", "max")  # one row each
 
 
 def stratified_split(df: DataFrame, label: str, keys: list[str], share: float = 0.2, seed: int = 42) -> DataFrame:

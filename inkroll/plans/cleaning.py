@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkroll.functions.ner import with_ner
 from inkroll.operators import aggregate as A
 from inkroll.operators import metrics as M
 from inkroll.operators import thresholds as TH
@@ -19,23 +20,23 @@ from inkroll.sources import sinks
 from inkroll.sources.records import record_slice, records
 
 
-def decide(spread_records: DataFrame, model: PipelineModel | None = None, person: float = PERSON_AT, non_person: float = NON_PERSON_AT) -> DataFrame:
-    """Candidates with ``label, score, reason``, by the model if there is one, else by the rules."""
-    rows = explode_candidates(spread_records)
+def decide(spread_records: DataFrame, model: PipelineModel | None = None, person: float = PERSON_AT, non_person: float = NON_PERSON_AT, ner_model: str | None = None) -> DataFrame:
+    """Candidates with ``ner_label, label, score, reason``, by the model if there is one, else by the rules."""
+    rows = with_ner(explode_candidates(spread_records), "candidate", ner_model)
     if model is None:
-        return classify_by_rules(rows)
+        return classify_by_rules(rows, "candidate", "ner_label")
     from inkroll.operators.model import score_candidates
 
     return classify_by_score(score_candidates(rows, model).withColumnRenamed("person_score", "score"), "score", person, non_person)
 
 
-def clean_and_count(spark: SparkSession, path: str, max_lines: int | None = None, model_path: str | None = None, person: float = PERSON_AT, non_person: float = NON_PERSON_AT, uncertain_to: str | None = None, counts_to: str | None = None) -> DataFrame:
+def clean_and_count(spark: SparkSession, path: str, max_lines: int | None = None, model_path: str | None = None, person: float = PERSON_AT, non_person: float = NON_PERSON_AT, uncertain_to: str | None = None, counts_to: str | None = None, ner_model: str | None = None) -> DataFrame:
     """``author, count`` of a JSON-lines file; optionally writes the counts and the uncertain occurrences."""
     model = PipelineModel.load(model_path) if model_path else None
-    decided = materialise(decide(spread(records(spark, path, max_lines)), model, person, non_person))
+    decided = materialise(decide(spread(records(spark, path, max_lines)), model, person, non_person, ner_model))
     counts = A.author_counts(decided)
     if uncertain_to:
-        sinks.write_uncertain(decided.withColumn("ner_label", F.lit(None).cast("string")).withColumnRenamed("id", "arxiv_id"), uncertain_to)
+        sinks.write_uncertain(decided.withColumnRenamed("id", "arxiv_id"), uncertain_to)
     if counts_to:
         sinks.write_author_counts(counts, counts_to)
     return counts

@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--max-label-candidates", type=int, default=5000)
     c.add_argument("--person-threshold", type=float, default=0.90)
     c.add_argument("--nonperson-threshold", type=float, default=0.10)
+    c.add_argument("--use-spacy", action="store_true")
     e = sub.add_parser("evaluate")
     e.add_argument("--label-file", required=True)
     e.add_argument("--model", required=True)
@@ -74,7 +75,7 @@ def main(argv: list[str] | None = None) -> None:
             matrix.show()
             model.write().overwrite().save(args.model_out)
         else:
-            P.clean_and_count(spark, args.file, limit, args.model_in, args.person_threshold, args.nonperson_threshold, args.export_uncertain, args.output_counts).show(30, False)
+            P.clean_and_count(spark, args.file, limit, args.model_in, args.person_threshold, args.nonperson_threshold, args.export_uncertain, args.output_counts, "en_core_web_sm" if args.use_spacy else None).show(30, False)
     elif args.command == "evaluate":
         from inkroll.operators.aggregate import stratified_split
         from inkroll.operators.metrics import binary

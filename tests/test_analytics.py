@@ -91,3 +91,14 @@ def test_split_is_stratified(spark):
     df = spark.createDataFrame([(f"c{i}", i % 3 == 0) for i in range(90)], "candidate string, label boolean")
     got = {(r.label, r.is_test): r["count"] for r in A.stratified_split(df, "label", ["candidate"]).groupBy("label", "is_test").count().collect()}
     assert got == {(True, True): 6, (True, False): 24, (False, True): 12, (False, False): 48}
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 400, 50_000])
+def test_quantiles_as_numpy(spark, size):
+    rng = random.Random(size)
+    values = [float(min(int(rng.paretovariate(1.0)), 10**12)) + (rng.random() if rng.random() < 0.3 else 0) for _ in range(size)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    got = list(A.quantiles(df, "x", [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]).first())
+    assert got == pytest.approx(np.percentile(values, [0, 25, 50, 75, 99, 100]).tolist())
+    empty = A.describe(df.limit(0), "x").first()
+    assert empty["count"] == 0 and empty.p50 is None
