@@ -176,7 +176,7 @@ def parse(names: DataFrame, common: frozenset[str]) -> DataFrame:
                 cls, found = rewrite(name, known)
                 if cls:
                     for n, (kind, family, accented, given, middle) in enumerate(found):
-                        rows.append((name, weight, cls, kind, family, accented, given, middle, n == 0, len(found) > 1))
+                        rows.append((name, weight, cls, kind, family if family != accented else None, accented, given, middle, n == 0, len(found) > 1))
             columns = list(zip(*rows, strict=True)) or [()] * 10
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 1 else pa.bool_() if k > 7 else pa.string()) for k, c in enumerate(columns)], names=["name", "weight", "cls", "kind", "family", "accented", "given", "middle", "first", "several"])
 
@@ -197,11 +197,12 @@ def _explode_forms(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, out, stems = [], [], []
-            for r, reading in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 4, 5)), strict=True)):
-                for form in exact_forms(*reading):
+            for r, (kind, family, accented, given, middle) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True)):
+                family = family or accented
+                for form in exact_forms(kind, family, given, middle):
                     index.append(r)
                     out.append(form)
-                    stems.append(form[0] != "t" and len(reading[1]) > 4)
+                    stems.append(form[0] != "t" and len(family) > 4)
             at = pa.array(index, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(7)), pa.array(out, pa.string()), pa.array(stems, pa.bool_())], names=[x.split()[0] for x in _SIDE.split(", ")] + ["form", "typos"])
 
@@ -241,7 +242,7 @@ def _score() -> Column:
     """How rare the rewriting is that makes reading u one of v; null if none does."""
     u, v = "u", "v"
     roots = F.create_map(*[F.lit(x) for k, r in sorted(ROOTS.items()) for x in (k, " ".join(r))])
-    c = lambda side, name: F.col(f"{side}_{name}")
+    c = lambda side, name: F.col(f"{side}_{name}") if name != "family" else F.coalesce(f"{side}_family", f"{side}_accented")
     same, given_u, given_v = c(u, "family") == c(v, "family"), c(u, "given"), c(v, "given")
     near = _one_off(c(u, "family"), c(v, "family")) & (F.length(c(u, "family")) > 3)
     person = c(v, "kind").isin("f", "p") & c(u, "kind").isin("f", "p", "w", "i")
@@ -295,7 +296,7 @@ def link_variants(names: DataFrame) -> DataFrame:
     far = u.join(near, F.col("u.key") == F.col("a")).join(v, F.col("b") == F.col("v.key")).select(*columns)
     # Conditions on one side stay out of the joins, so that all four sides read one and the same exchange.
     edges = meets.unionByName(far).withColumn("score", F.when(F.col("u_node") != F.col("v_node"), _score())).where("score is not null")
-    edges = edges.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), F.col("v_support").alias("support"), F.concat_ws("|", "v_family", "v_given").alias("whose"), F.col("u_kind").alias("kind"), "score")
+    edges = edges.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), F.col("v_support").alias("support"), F.concat_ws("|", F.coalesce("v_family", "v_accented"), "v_given").alias("whose"), F.col("u_kind").alias("kind"), "score")
     ranked = edges.withColumn("_best", F.max("score").over(Window.partitionBy("u"))).where("score = _best")
     top = ranked.groupBy("u", "score", "kind").agg(F.max(F.struct("support", "v"))["v"].alias("v"), F.min("whose").alias("a"), F.max("whose").alias("b"))
     parents = materialise(top.where("a = b or startswith(b, a) or levenshtein(a, b, 2) between 0 and 2 or (kind <> 'i' and score >= 20 and score not between 40 and 41)").select("u", "v", "score"))
