@@ -188,7 +188,7 @@ def _key(*parts: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 24)
 
 
-_SIDE = "node bigint, kind string, family string, accented string, given string, middle string, support bigint"
+_SIDE = "node bigint, kind string, family string, accented string, given string, middle string, support bigint, multi boolean"
 
 
 def _explode_forms(nodes: DataFrame) -> DataFrame:
@@ -199,12 +199,12 @@ def _explode_forms(nodes: DataFrame) -> DataFrame:
             index, out, stems = [], [], []
             for r, (kind, family, accented, given, middle) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True)):
                 family = family or accented
-                for form in exact_forms(kind, family, given, middle):
+                for form in exact_forms(kind, family, given, middle) or [f"m{accented}"]:  # at least one row per reading
                     index.append(r)
                     out.append(form)
-                    stems.append(form[0] != "t" and len(family) > 4)
+                    stems.append(form[0] not in "tm" and len(family) > 4)
             at = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(7)), pa.array(out, pa.string()), pa.array(stems, pa.bool_())], names=[x.split()[0] for x in _SIDE.split(", ")] + ["form", "typos"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(8)), pa.array(out, pa.string()), pa.array(stems, pa.bool_())], names=[x.split()[0] for x in _SIDE.split(", ")] + ["form", "typos"])
 
     found = nodes.select(*[x.split()[0] for x in _SIDE.split(", ")]).mapInArrow(run, _SIDE + ", form string, typos boolean")
     return found.select("*", _key("form").alias("key"))
@@ -275,21 +275,22 @@ def _score() -> Column:
     return F.when(person & middle, by_person).when(org, by_org) + F.when(c(u, "accented") == c(v, "accented"), 1).otherwise(0)
 
 
-def link_variants(names: DataFrame) -> DataFrame:
+def link_variants(names: DataFrame, paired_only: bool = False) -> DataFrame:
     """The entity of every spelling: ``name``, ``cls`` (spellings equal but for format), ``entity``.
 
     ``names`` has one row per different ``name`` (not null) and its ``weight`` in rows. Empty names and names without letters
     or digits get no row; an empty table gives none. Spellings of one class always share their entity.
+    With ``paired_only`` entities of one class may be left out, which have no pairs.
     Forms, nodes and classes are numbers in all joins. Stems (family name and initial) get their forms with one letter less
     once, however many given names and spellings they have.
     """
     parsed = materialise(parse(spread(names), common_words(names)).withColumn("cls", F.xxhash64("cls")))
     key = ["kind", "accented", "given", "acronym"]
     parsed = parsed.withColumn("acronym", F.when(F.col("kind") == "a", F.col("middle")).otherwise("")).withColumn("node", F.xxhash64(*key))
-    nodes = parsed.groupBy("node").agg(F.sum("weight").alias("support"), F.max("middle").alias("middle"), *[F.any_value(c).alias(c) for c in ("kind", "family", "accented", "given")])
+    nodes = parsed.groupBy("node").agg(F.sum("weight").alias("support"), F.max("middle").alias("middle"), (F.min("cls") != F.max("cls")).alias("multi"), *[F.any_value(c).alias(c) for c in ("kind", "family", "accented", "given")])
     exact = materialise(_explode_forms(nodes))
     near = _near_stems(exact.where("typos").select("key", "form").distinct())
-    sides = exact.drop("form", "typos")
+    sides = exact.where("kind <> 'm'").drop("form", "typos", "multi")
     u, v = sides.alias("u"), sides.alias("v")
     columns = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "uv" for c in sides.columns if c != "key"]
     meets = u.join(v, (F.col("u.key") == F.col("v.key"))).select(*columns)
@@ -302,6 +303,9 @@ def link_variants(names: DataFrame) -> DataFrame:
     parents = materialise(top.where("a = b or startswith(b, a) or levenshtein(a, b, 2) between 0 and 2 or (kind <> 'i' and score >= 20 and score not between 40 and 41)").select("u", "v", "score"))
     for _ in range(2):  # smaller spellings point to larger ones; twice covers chains of four
         parents = parents.join(parents.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left").select("u", F.coalesce("w", "v").alias("v"), "score")
+    if paired_only:  # spellings with one reading whose node has one class and no link make no pairs
+        busy = exact.where("multi").select("node").unionByName(parents.select(F.col("u").alias("node"))).unionByName(parents.select(F.col("v").alias("node"))).distinct()
+        parsed = parsed.where("several").unionByName(parsed.where("not several").join(busy, "node", "left_semi").select(parsed.columns))
     chosen = parsed.select("name", "cls", "node", "first", "several").join(parents.withColumnRenamed("u", "node"), "node", "left")
     rank = F.struct(F.coalesce("score", F.when(F.col("first"), 0).otherwise(-1)).alias("score"), F.coalesce("v", "node").alias("entity"))
     single = chosen.where("not several").select("name", "cls", F.coalesce("v", "node").alias("entity"))
@@ -332,7 +336,7 @@ def p1_entities(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of spellings that name the same person or organisation."""
-    return variant_pairs(link_variants(_names(spark, folder)))
+    return variant_pairs(link_variants(_names(spark, folder), paired_only=True))
 
 
 QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities}
