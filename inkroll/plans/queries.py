@@ -98,7 +98,7 @@ def threshold_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def bucket_groups(spark: SparkSession, d: str) -> DataFrame:
     out = TH.bucket_groups(TH.apply_pairs(scored(spark, d).select("candidate", "ner_label", "person_score"), PAIRS))
-    return out.withColumn("mean_score", F.round("mean_score", 8))
+    return out.withColumn("mean_score", F.round("mean_score", 12))
 
 
 def score_classification(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +107,7 @@ def score_classification(spark: SparkSession, d: str) -> DataFrame:
 
 def uncertain_summary(spark: SparkSession, d: str) -> DataFrame:
     out = A.candidate_summary(table(spark, d, "uncertain_occurrences"), [], "score", reason="reason")
-    return out.withColumn("mean_score", F.round("mean_score", 8))
+    return out.withColumn("mean_score", F.round("mean_score", 12))
 
 
 def uncertain_top(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +116,7 @@ def uncertain_top(spark: SparkSession, d: str) -> DataFrame:
 
 def rejected_summary(spark: SparkSession, d: str) -> DataFrame:
     rejected = scored(spark, d).where("person_score <= 0.1").select("candidate", F.col("person_score").alias("score"))
-    out = A.candidate_summary(rejected, [], "score", ner_label=None).select("candidate", "frequency", F.round("mean_score", 8).alias("mean_score"))
+    out = A.candidate_summary(rejected, [], "score", ner_label=None).select("candidate", "frequency", F.round("mean_score", 12).alias("mean_score"))
     return A.top(out, 100, F.desc("frequency"), F.asc("candidate"))
 
 
@@ -151,7 +151,7 @@ def score_describe(spark: SparkSession, d: str) -> DataFrame:
 
 def score_frequency(spark: SparkSession, d: str) -> DataFrame:
     out = table(spark, d, "uncertain_occurrences").where("candidate is not null").groupBy("candidate").agg(F.count("*").alias("frequency"), F.avg("score").alias("mean_score"))
-    return out.withColumn("mean_score", F.round("mean_score", 8))
+    return out.withColumn("mean_score", F.round("mean_score", 12))
 
 
 def candidate_frequency(spark: SparkSession, d: str) -> DataFrame:

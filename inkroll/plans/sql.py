@@ -129,7 +129,7 @@ REJECTED = "(select candidate, person_score score, ner_label from scored_candida
 
 
 def summary(source: str, score: str, extra: str = "") -> str:
-    return f"select candidate, count(*) frequency, round(avg({score}), 8) mean_score{extra} from {source} where candidate is not null group by candidate"
+    return f"select candidate, count(*) frequency, round(avg({score}), 12) mean_score{extra} from {source} where candidate is not null group by candidate"
 
 
 UNCERTAIN_SUMMARY = f"""with {mode("reason", "candidate", "uncertain_occurrences", "mr")}, {mode("ner_label", "candidate", "uncertain_occurrences", "mn")},
@@ -167,7 +167,7 @@ select candidate, frequency, ml.rule_label, s.rule_score, mr.rule_reason, '' as
     "threshold_summary": f"{EVERY} select pt person_threshold, nt nonperson_threshold, count(*) total_candidate_occurrences, "
     + ", ".join(f"count(*) filter (decision = '{v}') {k}_occurrences, count(distinct candidate) filter (decision = '{v}') {k}_unique, round(count(*) filter (decision = '{v}') / count(*), 9) {k}_occurrence_rate" for k, v in NAMES.items())
     + " from every group by pt, nt",
-    "bucket_groups": f"""{EVERY}, {mode("ner_label", "tag, decision, candidate", "every", "mn")}, s as (select tag, decision, candidate, count(*) frequency, round(avg(person_score), 8) mean_score, min(person_score) min_score, max(person_score) max_score
+    "bucket_groups": f"""{EVERY}, {mode("ner_label", "tag, decision, candidate", "every", "mn")}, s as (select tag, decision, candidate, count(*) frequency, round(avg(person_score), 12) mean_score, min(person_score) min_score, max(person_score) max_score
   from every where candidate is not null group by tag, decision, candidate)
 select s.*, coalesce(ner_label, '') most_common_ner_label from s left join mn using (tag, decision, candidate)""",
     "score_classification": "select cand_id, case when person_score >= 0.9 then 'PERSON' when person_score <= 0.1 then 'NON_PERSON' else 'UNCERTAIN' end as label, 'supervised_model' reason from scored_candidates",
