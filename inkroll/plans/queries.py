@@ -28,8 +28,13 @@ def plain_candidates(spark: SparkSession, d: str) -> DataFrame:
     return explode_candidates(raw(spark, d), "authors", nfkc=False).select("line_no", "id", "position", "candidate")
 
 
-def decided(spark: SparkSession, d: str) -> DataFrame:
-    return classify_by_rules(plain_candidates(spark, d))
+def full_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of the whole cleaning path, NFKC first, as the reference and the pipelines take them."""
+    return explode_candidates(raw(spark, d), "authors").select("line_no", "id", "position", "candidate")
+
+
+def decided(spark: SparkSession, d: str, nfkc: bool = False) -> DataFrame:
+    return classify_by_rules(full_candidates(spark, d) if nfkc else plain_candidates(spark, d))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +46,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidates_nfkc(spark: SparkSession, d: str) -> DataFrame:
-    return explode_candidates(raw(spark, d), "authors").select("line_no", "id", "position", "candidate")
+    return full_candidates(spark, d)
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -66,25 +71,60 @@ def decision_counts(spark: SparkSession, d: str) -> DataFrame:
     return A.decision_counts(decided(spark, d))
 
 
+def decision_counts_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    return A.decision_counts(decided(spark, d, nfkc=True))
+
+
 def author_counts(spark: SparkSession, d: str) -> DataFrame:
     return A.author_counts(decided(spark, d))
 
 
+def author_counts_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    return A.author_counts(decided(spark, d, nfkc=True))
+
+
 def top_authors(spark: SparkSession, d: str) -> DataFrame:
     return A.top(A.author_counts(decided(spark, d)), 30, F.desc("count"), F.asc("author"))
 
 
+def top_authors_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    return A.top(A.author_counts(decided(spark, d, nfkc=True)), 30, F.desc("count"), F.asc("author"))
+
+
+def _distinct_authors(rows: DataFrame) -> DataFrame:
+    return rows.where("label = 'PERSON'").agg(F.countDistinct("candidate").alias("authors"))
+
+
 def distinct_authors(spark: SparkSession, d: str) -> DataFrame:
-    return decided(spark, d).where("label = 'PERSON'").agg(F.countDistinct("candidate").alias("authors"))
+    return _distinct_authors(decided(spark, d))
+
+
+def distinct_authors_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    return _distinct_authors(decided(spark, d, nfkc=True))
+
+
+def _uncertain_rows(rows: DataFrame) -> DataFrame:
+    return rows.where("label = 'UNCERTAIN'").select("line_no", "id", "position", "candidate", "score", "reason")
 
 
 def uncertain_rows(spark: SparkSession, d: str) -> DataFrame:
-    return decided(spark, d).where("label = 'UNCERTAIN'").select("line_no", "id", "position", "candidate", "score", "reason")
+    return _uncertain_rows(decided(spark, d))
+
+
+def uncertain_rows_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    return _uncertain_rows(decided(spark, d, nfkc=True))
+
+
+def _labelling_sheet(candidates: DataFrame) -> DataFrame:
+    return A.labelling_sheet(with_rules(candidates)).withColumn("rule_score", F.round("rule_score", 9))
 
 
 def labelling_sheet(spark: SparkSession, d: str) -> DataFrame:
-    sheet = A.labelling_sheet(with_rules(plain_candidates(spark, d)))
-    return sheet.withColumn("rule_score", F.round("rule_score", 9))
+    return _labelling_sheet(plain_candidates(spark, d))
+
+
+def labelling_sheet_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    return _labelling_sheet(full_candidates(spark, d))
 
 
 def threshold_decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -300,7 +340,8 @@ def model_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        candidates, candidates_nfkc, tokens, features, rule_decisions, rule_classification, decision_counts, author_counts, top_authors, distinct_authors, uncertain_rows, labelling_sheet, threshold_decisions, threshold_summary, bucket_groups,
+        candidates, candidates_nfkc, tokens, features, rule_decisions, rule_classification, decision_counts, author_counts, top_authors, distinct_authors, uncertain_rows, labelling_sheet,
+        decision_counts_nfkc, author_counts_nfkc, top_authors_nfkc, distinct_authors_nfkc, uncertain_rows_nfkc, labelling_sheet_nfkc, threshold_decisions, threshold_summary, bucket_groups,
         score_classification, uncertain_summary, uncertain_top, rejected_summary, reason_histogram, ner_distribution, decision_overview, count_describe, score_describe, score_frequency, candidate_frequency, score_histogram, count_histogram,
         threshold_histogram, histogram_by_class, confusion, confusion_norm, class_report, threshold_sweep, roc_auc, average_precision, roc_curve, pr_curve, calibration, class_counts, predictions, error_fp, error_fn, stratified_split,
         source_slice_lines, source_slice_valid, char_ngrams, tfidf, train_predict, model_report,
