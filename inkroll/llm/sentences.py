@@ -4,9 +4,9 @@ Layout comes first: blank lines, list marks, quoted lines and code blocks part t
 offsets. Inside a part, every end mark (in Thai, which has none, every blank) is tagged as boundary or
 inside by a linear-chain model with Viterbi decoding; all other characters can only be inside.
 
-The model is an averaged structured perceptron, trained when the query runs on a bounded sample of the
-documents. Its labels need no annotation: how often a word ends or starts a paragraph or list item is known
-from the layout, and a mark between a word that can end and a word that can start a unit is a boundary. For scripts
+The model is an averaged structured perceptron whose weights are trained when the query runs, on a bounded
+sample of the documents. Its labels need no annotation: how often a word ends or starts a paragraph or list item,
+in all documents, is known from the layout, and a mark between a word that can end and a word that can start a unit is a boundary. For scripts
 without end marks, paragraphs are joined by blanks, marks removed, and the joints are the labels.
 """
 
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkroll.session import spread
+from inkroll.session import materialise, spread
 from inkroll.sources.tables import table
 
-#: Documents the model is fitted on, at most; every document is segmented.
+#: Documents the weights are trained on, at most; the words of every document are counted and every document is segmented.
 SAMPLE = 4000
+#: Entries of the word counts of a task after which they are handed on.
+FLUSH = 200_000
 EPOCHS = 4
 
 _MARK = re.compile(r"(?:[-*+•]|\d{1,9}[.)])[ \t]+(?=\S)|>")
@@ -249,7 +251,7 @@ def candidates(text: str, masked: str, a: int, b: int) -> list[Candidate]:
 
 @dataclass
 class SentenceModel:
-    """What the sample says about words at the ends and starts of units, and the weights of the chain."""
+    """What the documents say about words at the ends and starts of units, and the weights of the chain."""
 
     ends: Counter = field(default_factory=Counter)
     starts: Counter = field(default_factory=Counter)
@@ -347,37 +349,77 @@ class SentenceModel:
         return tags[::-1]
 
 
-def fit(texts: list[str], seed: int = 9) -> SentenceModel:
-    """The model from raw texts alone; the same texts give the same model."""
-    model, sequences, loose = SentenceModel(), [], []
-    for text in texts:
-        masked = _mask(text)
-        for a, b, code, body in layout(text):
-            part = masked[body:b].rstrip()
-            at = body + len(part) - len(part.lstrip())
-            b = body + len(part)
-            if code or at >= b:
+@dataclass
+class Observed:
+    """A part outside code: its bare text, whether it is Thai, its first word, its last one if marks follow, its candidates."""
+
+    part: str
+    thai: bool
+    first: str
+    last: str | None
+    places: list[Candidate]
+
+
+def observe(text: str) -> Iterator[Observed]:
+    """All parts of a text that can be learned from."""
+    masked = _mask(text)
+    for _, b, code, body in layout(text):
+        part = masked[body:b].rstrip()
+        at = body + len(part) - len(part.lstrip())
+        b = body + len(part)
+        if code or at >= b:
+            continue
+        thai = len(_THAI.findall(part)) * 3 > len(part)
+        tail = re.search(r"(.*?)[.…]+$", part[-40:], re.S)
+        last = _before(part, len(part) - (len(part[-40:]) - tail.end(1))) if tail else None
+        first = _after(masked[:b], at)
+        yield Observed(part, thai, f"_{first}" if thai else first, last, candidates(text, masked, at, b))
+
+
+def observations(seen: Observed) -> Iterator[tuple[str, str, str]]:
+    """What a part adds to the counts: (start, word, ""), (end, word, ""), (after, word, "") and, at a full stop, (pair, word before, word after).
+
+    Signs and numbers after a full stop can start a unit (open) or not (shut) whatever the counts: (open or shut, word before, "").
+    """
+    yield "start", seen.first, ""
+    if seen.last is not None:
+        yield "end", seen.last, ""
+    for c in seen.places:
+        if c.mark == "." and not c.glued and not c.closed:
+            if c.after[0].isalnum():
+                yield "pair", c.before, c.after
+            else:
+                yield "open" if c.after[0] in "¿¡" else "shut", c.before, ""
+        else:
+            yield "after", f"_{c.after}" if c.mark == "_" else c.after, ""
+
+
+def count_words(parts: list[Observed]) -> SentenceModel:
+    """The word counts of ``parts``, without weights."""
+    model, pairs = SentenceModel(), Counter()
+    for seen in parts:
+        for kind, word, after in observations(seen):
+            if kind in ("start", "end", "after"):
+                {"start": model.starts, "end": model.ends, "after": model.seen_after}[kind][word] += 1
                 continue
-            first, cs = _after(masked[:b], at), candidates(text, masked, at, b)
-            thai = len(_THAI.findall(part)) * 3 > len(part)
-            model.starts[f"_{first}" if thai else first] += 1
-            tail = re.search(r"(.*?)[.…]+$", part[-40:], re.S)
-            if tail:
-                model.ends[_before(part, len(part) - (len(part[-40:]) - tail.end(1)))] += 1
-            for c in cs:
-                if c.mark == "_":
-                    model.seen_after[f"_{c.after}"] += 1
-                else:
-                    model.seen_after[c.after] += 1
-                    if c.mark == "." and not c.glued and not c.closed:
-                        model.seen_before[c.before] += 1
-            sequences.append(cs)
-            if thai and len(part) < 400:
-                loose.append(re.sub(r"[.!?…]+(?=\s|$)", "", part))
-    for cs in sequences:
-        for c in cs:
-            if c.mark == "." and not c.glued and not c.closed and model.can_start(c.after) == "start":
-                model.followed[c.before] += 1
+            model.seen_before[word] += 1
+            if kind == "pair":
+                pairs[word, after] += 1
+                model.seen_after[after] += 1
+            elif kind == "open":
+                model.followed[word] += 1
+    for (word, after), n in pairs.items():
+        if model.can_start(after) == "start":
+            model.followed[word] += n
+    return model
+
+
+def fit(texts: list[str], seed: int = 9, counted: SentenceModel | None = None) -> SentenceModel:
+    """The model from raw texts alone, with the word counts of ``counted`` if given; the same texts give the same model."""
+    seen = [part for text in texts for part in observe(text)]
+    model = counted or count_words(seen)
+    sequences = [x.places for x in seen]
+    loose = [re.sub(r"[.!?…]+(?=\s|$)", "", x.part) for x in seen if x.thai and len(x.part) < 400]
     labelled = [(cs, [model.label(c) for c in cs]) for cs in sequences if cs]
     for i in range(0, len(loose) - 2, 3):  # unpunctuated text: paragraphs joined by blanks, the joints are boundaries
         joined, joints = "", set()
@@ -446,10 +488,52 @@ def segment(text: str | None, model: SentenceModel) -> list[tuple[int, int]]:
     return units
 
 
+def count_all(df: DataFrame, text: str) -> SentenceModel:
+    """The word counts of all documents, combined per task, in one small shuffle of the words.
+
+    Only words whose class differs from that of a word never seen reach the driver, with their exact counts, so
+    every class is the same as with all counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*counts, strict=True)) or [(), (), ()]
+            done = pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(list(counts.values()), pa.int64())], names=["kind", "word", "after", "n"])
+            counts.clear()
+            return done
+
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                for part in observe(value):
+                    counts.update(observations(part))
+                if len(counts) > FLUSH:
+                    yield out()
+        yield out()
+
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    found = df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "kind string, word string, after string, n long")
+    counted = materialise(found.groupBy("kind", "word", "after").agg(F.sum("n").alias("n")))
+    kind = F.col("kind")
+    starts = counted.where("kind in ('start', 'after', 'pair')").groupBy(F.when(kind == "pair", F.col("after")).otherwise(F.col("word")).alias("after")).agg(total(kind == "start").alias("first"), total(kind != "start").alias("later"))
+    told = materialise(starts.where("first >= 2 and first >= 0.0199 * (first + later) or first = 0 and later >= 4"))  # a little more than decides
+    model = SentenceModel()
+    for r in told.collect():
+        model.starts[r.after], model.seen_after[r.after] = r.first, r.later
+    openers = told.where((F.col("first") >= 2) & (F.col("first") >= F.lit(0.02) * (F.col("first") + F.col("later")))).select("after", F.lit(True).alias("opens"))  # as can_start has it
+    ends = counted.where("kind in ('pair', 'open', 'shut', 'end')").join(openers, "after", "left")
+    words = ends.groupBy("word").agg(total(kind != "end").alias("seen"), total(kind == "end").alias("last"), total((kind == "open") | (kind == "pair") & F.col("opens")).alias("followed"))
+    dotted = F.col("word").rlike("^[^.]?(\\.[^.]?)+$")
+    for r in words.where((F.col("seen") >= 2) & (dotted | (F.col("followed") <= 0.701 * F.col("seen")))).collect():
+        model.seen_before[r.word], model.ends[r.word], model.followed[r.word] = r.seen, r.last, r.followed
+    return model
+
+
 def train(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> SentenceModel:
-    """Fit on at most ``sample`` documents, those with the smallest hashes of their keys."""
+    """Words counted over all documents; weights from at most ``sample`` of them, those with the smallest hashes of their keys."""
     rows = df.where(F.col(text).isNotNull()).select(text, F.xxhash64(F.lit(9), F.col(key)).alias("_o")).orderBy("_o", text).limit(sample)
-    return fit([r[0] for r in rows.collect()])
+    return fit([r[0] for r in rows.collect()], counted=count_all(spread(df), text))
 
 
 def sentences(df: DataFrame, text: str, model: SentenceModel) -> DataFrame:
