@@ -2,8 +2,9 @@
 
 Every chain "encode as A, decode as B" (once or twice) that is possible for a name proposes a reading.
 A smoothed character n-gram model, trained on the clean names of the whole table, scores the name as it
-stands and every reading; the likeliest reading is accepted if it beats the name by a margin. The margin
-is validated on held-out clean names, as they are and garbled by the same chains.
+stands and every reading; the likeliest reading is accepted if it beats the name by a margin. A part of the
+names, chosen by a hash, is left out of the training; the margin is validated on all of these, as they are
+and garbled by the same chains, in one distributed pass.
 
 The name as it stands is scored in its look-alike canonical form, so unusual but intended characters
 (full-width letters, invisible characters) do not speak for a reading.
@@ -15,9 +16,11 @@ import codecs
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from inkroll.llm.lookalikes import PLAIN_BLANKS, canonical_text
 from inkroll.operators.multivalue import split_field
-from inkroll.session import spread
+from inkroll.session import materialise, spread
 from inkroll.sources.tables import table
 
 # Fixed values: (encoding the text was wrongly read in, encoding it was written in).
@@ -37,8 +40,12 @@ CHAINS = (
 _MIXED = re.compile("[A-Za-z\u00c0-\u024f][\u0370-\u052f]|[\u0370-\u052f][A-Za-z\u00c0-\u024f]")
 #: A second wrong reading after a first one: again UTF-8 read byte by byte.
 _DOUBLE = tuple((a, b) for a, b in CHAINS if b == "utf-8" and a != "gbk")
-#: Held-out clean names the margin is validated on, at most; a bound of the validation, not of the search.
-HELD_OUT = 2000
+#: One in so many different clean names beyond ASCII, chosen by a hash of the name, validates the margin and is not learned from.
+HELD_OUT = 20
+#: Least margin and distance of the margins that are tried.
+LEAST, STEP = 2.0, 0.5
+# Fixed value: share of garbled names, by which falsely accepted and missed names are weighed.
+EXPECTED = 0.01
 _SINGLE_BYTE = frozenset(a for a, _ in CHAINS if a != "gbk")
 _ENCODE: dict[str, dict[int, int]] = {}
 for _name in _SINGLE_BYTE:
@@ -75,9 +82,16 @@ def reread(text: str, wrong: str, right: str) -> str | None:
         return None
 
 
+@cache
+def _back(wrong: str) -> dict[int, str]:
+    return {b: chr(c) for c, b in sorted(_ENCODE[wrong].items(), reverse=True)}
+
+
 def garble(text: str, right: str, wrong: str) -> str:
     """The inverse: written as ``right``, read as ``wrong``, undefined bytes as control characters."""
-    back = {b: chr(c) for c, b in sorted(_ENCODE[wrong].items(), reverse=True)}
+    if wrong not in _ENCODE:
+        return text.encode(right).decode(wrong)
+    back = _back(wrong)
     return "".join(back[b] for b in text.encode(right))
 
 
@@ -217,48 +231,106 @@ def readings_possible(name: str) -> bool:
     return bool(_RUN.search(name)) and any(right == "utf-8" and (new := reread(name, wrong, right)) is not None and new != name for wrong, right in CHAINS)
 
 
-def train(records: DataFrame, authors: str) -> CharModel:
-    """The model from all clean names of ``records``; counted per partition, combined in one small shuffle.
+def held_out(name: str) -> bool:
+    """Whether a clean name validates the margin; the same in every run and for every copy of the name."""
+    return not name.isascii() and zlib.crc32(name.encode()) % HELD_OUT == 0
+
 
-    What reaches the driver is one row per character pair, bounded by the alphabets and not by the rows.
+def count(records: DataFrame, authors: str) -> DataFrame:
+    """``held, text, n``: the character pairs of the clean names that are learned from, and the names that are held out.
+
+    Counted per task and combined in one small shuffle.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
                     for name, _ in split_field(text, PLAIN_BLANKS):
-                        if _plain(name):
+                        if not _plain(name):
+                            continue
+                        if held_out(name):
+                            counts[True, name] += 1
+                        else:
                             padded = f" {name} "
-                            pairs.update(map("".join, zip(padded, padded[1:], strict=False)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(pairs), pa.string()), pa.array(list(pairs.values()), pa.int64())], names=["pair", "n"])
+                            counts.update((False, a + b) for a, b in zip(padded, padded[1:], strict=False))
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in counts], pa.bool_()), pa.array([x for _, x in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["held", "text", "n"])
 
-    counted = records.select(authors).where(F.col(authors).isNotNull()).mapInArrow(count, "pair string, n long")
-    return CharModel({r.pair: r.n for r in counted.groupBy("pair").agg(F.sum("n").alias("n")).collect() if len(r.pair) == 2})
+    found = records.select(authors).where(F.col(authors).isNotNull()).mapInArrow(run, "held boolean, text string, n long")
+    return materialise(found.groupBy("held", "text").agg(F.sum("n").alias("n")))
 
 
-def validated_margin(model: CharModel, clean: list[str]) -> float:
-    """The smallest margin that accepts no reading of a held-out clean name, plus slack; at least 2.
+def trained(counted: DataFrame) -> CharModel:
+    """The model; what reaches the driver is one row per character pair, bounded by the alphabets and not by the rows."""
+    return CharModel({r.text: r.n for r in counted.where("not held").collect() if len(r.text) == 2})
+
+
+def _spoilt(name: str) -> Iterator[str]:
+    """A name garbled by every chain that is possible for it, and by one pair of chains, a different one per name."""
+    twice = zlib.crc32(name.encode()) // HELD_OUT % len(_DOUBLE) ** 2
+    (first, _), (second, _) = _DOUBLE[twice // len(_DOUBLE)], _DOUBLE[twice % len(_DOUBLE)]
+    for steps in [*([chain] for chain in CHAINS), [(first, "utf-8"), (second, "utf-8")]]:
+        text = name
+        try:
+            for wrong, right in steps:
+                text = garble(text, right, wrong)
+        except (UnicodeError, KeyError):
+            continue
+        if text != name:
+            yield text
+
+
+def leads(name: str, model: CharModel) -> Iterator[tuple[bool, int]]:
+    """Whether garbled, and by how many steps a reading leads: of a clean name, of it and of its words; of the name garbled by each chain.
 
-    ``clean`` are names as they should be; where none has another reading, the least margin holds.
+    0 if none leads; a garbled name has a lead only if its likeliest reading is the name.
     """
-    worst = max((found[2] for name in clean if not name.isascii() and (found := best_reading(name, model))), default=0.0)
-    return max(2.0, worst + 0.5)
+    steps = lambda lead: max(0, math.ceil(lead / STEP))
+    yield False, max(steps(found[2]) if not x.isascii() and (found := best_reading(x, model)) else 0 for x in [name, *_words(name)])
+    for text in _spoilt(name):
+        found = best_reading(text, model)
+        yield True, steps(found[2]) if found and found[0] == name else 0
 
 
-def fit(records: DataFrame, authors: str) -> tuple[CharModel, float]:
-    """Train on all clean names and validate the margin on at most ``HELD_OUT`` of them."""
-    model = train(records, authors)
+def margin_from(tally: dict[tuple[bool, int], int]) -> float:
+    """The margin with the fewest errors expected: clean names accepted and garbled names missed, by their shares. The least of equal ones, at least `LEAST`."""
+    clean, garbled = (max(1, sum(n for (bad, _), n in tally.items() if bad == kind)) for kind in (False, True))
+
+    def errors(margin: int) -> float:
+        accepted = sum(n for (bad, lead), n in tally.items() if not bad and lead > margin)
+        missed = sum(n for (bad, lead), n in tally.items() if bad and lead <= margin)
+        return (1 - EXPECTED) * accepted / clean + EXPECTED * missed / garbled
+
+    least = round(LEAST / STEP)
+    return STEP * min(range(least, max([least, *(lead for _, lead in tally)]) + 1), key=lambda m: (errors(m), m))
+
+
+def validated_margin(model: CharModel, clean: list[str]) -> float:
+    """The margin for a model from names as they should be, which it was not trained on."""
+    return margin_from(Counter(x for name in clean for x in leads(name, model)))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def tally_leads(names: DataFrame, model: CharModel) -> dict[tuple[bool, int], int]:
+    """How often each of `leads` occurs over all ``text`` of ``names``; one row per lead reaches the driver."""
+    shipped = names.sparkSession.sparkContext.broadcast(model.pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, counts = CharModel(shipped.value), Counter()
         for batch in batches:
-            names = [n for t in batch.column(0).to_pylist() for n, _ in split_field(t, PLAIN_BLANKS) if not n.isascii() and _plain(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+            for name in batch.column(0).to_pylist():
+                counts.update(leads(name, own))
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in counts], pa.bool_()), pa.array([k for _, k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["bad", "lead", "n"])
 
-    odd = records.where(F.col(authors).rlike("[^\\u0000-\\u007f]")).select(authors)
-    held = [r.name for r in odd.mapInArrow(pick, "name string").limit(HELD_OUT).collect()]
-    return model, validated_margin(model, held)
+    found = spread(names.select("text")).mapInArrow(run, "bad boolean, lead long, n long")
+    return {(r.bad, r.lead): r.n for r in found.groupBy("bad", "lead").agg(F.sum("n").alias("n")).collect()}
+
+
+def fit(records: DataFrame, authors: str) -> tuple[CharModel, float]:
+    """Train on the clean names but for a hash-chosen part, and validate the margin on all of that part, clean and garbled."""
+    counted = count(records, authors)
+    model = trained(counted)
+    return model, margin_from(tally_leads(counted.where("held"), model))
 
 
 def find_garbled(records: DataFrame, authors: str, model: CharModel, margin: float) -> DataFrame:
