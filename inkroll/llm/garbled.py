@@ -57,8 +57,10 @@ for _name in _SINGLE_BYTE:
             pass
     _ENCODE[_name] = _map
 _LOST = "�"
-#: Quick check: bytes beyond ASCII come in runs in all encodings of several bytes and in Cyrillic ones.
-_RUN = re.compile("[^\u0000-\u007f]{2}")
+#: Quick check, in Python and in Java: bytes beyond ASCII come in runs in all encodings of several bytes and in Cyrillic ones; only
+#: GBK makes one character of the two bytes of an accented letter, always an ideograph, which may stand alone.
+QUICK = "[^\u0000-\u007f]{2}|[\u4e00-\u9fff]"
+_RUN = re.compile(QUICK)
 _FOREIGN_RUN = re.compile("[\u0080-\u024f]{4}")
 
 
@@ -359,7 +361,7 @@ def find_garbled(records: DataFrame, authors: str, model: CharModel, margin: flo
                 [*columns, pa.array([x[1] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.string()) for k in (2, 3, 4))], names=[*keep, "position", "item", "restored", "chain"]
             )
 
-    odd = records.where(F.col(authors).rlike("[^\\u0000-\\u007f]{2}|[\\u0080-\\u00bf\\u2000-\\u2bff\\ufffd]")).select(*keep, authors)
+    odd = records.where(F.col(authors).rlike(QUICK + "|[\\u0080-\\u00bf\\u2000-\\u2bff\\ufffd]")).select(*keep, authors)
     return odd.mapInArrow(run, f"{kept}{', ' if kept else ''}position int, item string, restored string, chain string")
 
 
