@@ -202,7 +202,7 @@ def _explode_forms(nodes: DataFrame) -> DataFrame:
                 for form in exact_forms(kind, family, given, middle) or [f"m{accented}"]:  # at least one row per reading
                     index.append(r)
                     out.append(form)
-                    stems.append(form[0] not in "tm" and len(family) > 4)
+                    stems.append(form[0] not in "tm" and len(family) > 3)  # as in the score
             at = pa.array(index, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(8)), pa.array(out, pa.string()), pa.array(stems, pa.bool_())], names=[x.split()[0] for x in _SIDE.split(", ")] + ["form", "typos"])
 
