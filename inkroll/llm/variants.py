@@ -275,6 +275,28 @@ def _score() -> Column:
     return F.when(person & middle, by_person).when(org, by_org) + F.when(c(u, "accented") == c(v, "accented"), 1).otherwise(0)
 
 
+def rooted(parents: DataFrame) -> DataFrame:
+    """``u, v, score`` with the parent ``v`` of every ``u`` replaced by the root of its chain, however long.
+
+    Every round doubles the steps and cuts the lineage with a table. While a chain is not at its root, each round brings some node
+    there; when none gets there any more, the rest runs in circles, and each circle gets its largest member as root.
+    """
+    steps, before = parents, None
+    while (left := parents.join(steps.select(F.col("u").alias("v")), "v", "left_semi").count()) and left != before:
+        before = left
+        jump = parents.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        parents = materialise(parents.join(jump, "v", "left").select("u", F.coalesce("w", "v").alias("v"), "score"))
+    if not left:
+        return parents
+    circling = parents.join(steps.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+    ring = steps.join(circling, "u", "left_semi").select("u", "v", F.col("u").alias("top"))
+    for _ in range((left - 1).bit_length()):  # top: the largest of as many nodes from u on as v is steps away
+        jump = ring.select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("top").alias("more"))
+        ring = materialise(ring.join(jump, "v").select("u", F.col("w").alias("v"), F.greatest("top", "more").alias("top")))
+    ends = ring.join(ring.select(F.col("u").alias("v"), F.col("top").alias("root")), "v").select("u", "root")
+    return parents.join(ends, "u", "left").select("u", F.coalesce("root", "v").alias("v"), "score")
+
+
 def link_variants(names: DataFrame, paired_only: bool = False) -> DataFrame:
     """The entity of every spelling: ``name``, ``cls`` (spellings equal but for format), ``entity``.
 
@@ -301,8 +323,7 @@ def link_variants(names: DataFrame, paired_only: bool = False) -> DataFrame:
     ranked = edges.withColumn("_best", F.max("score").over(Window.partitionBy("u"))).where("score = _best")
     top = ranked.groupBy("u", "score", "kind").agg(F.max(F.struct("support", "v"))["v"].alias("v"), F.min("whose").alias("a"), F.max("whose").alias("b"))
     parents = materialise(top.where("a = b or startswith(b, a) or levenshtein(a, b, 2) between 0 and 2 or (kind <> 'i' and score >= 20 and score not between 40 and 41)").select("u", "v", "score"))
-    for _ in range(2):  # smaller spellings point to larger ones; twice covers chains of four
-        parents = parents.join(parents.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left").select("u", F.coalesce("w", "v").alias("v"), "score")
+    parents = rooted(parents)
     if paired_only:  # spellings with one reading whose node has one class and no link make no pairs
         busy = exact.where("multi").select("node").unionByName(parents.select(F.col("u").alias("node"))).unionByName(parents.select(F.col("v").alias("node"))).distinct()
         parsed = parsed.where("several").unionByName(parsed.where("not several").join(busy, "node", "left_semi").select(parsed.columns))
