@@ -39,15 +39,28 @@ _INLINE = re.compile(r"(`+)[^`\n](?:[^`]*?[^`])?\1(?!`)")
 _URL = re.compile(r"(?:https?://|www\.)[!-~]+")
 _URL_TAIL = re.compile(r"[.,;:!?…'\")\]}>]+$")
 _URL_JOINED = re.compile(r"[.!?]+(?=[A-Z][a-z]*'?[a-z]*$)")
-_END = re.compile(r"[.!?…。！？।؟۔]+")
+# Characters with the Unicode property Sentence_Terminal beyond the common ones; they end sentences only.
+_TERMINAL = (
+    "\u0589\u061d\u0700\u0701\u0702\u07f9\u0837\u0839\u083d\u083e\u0965\u104a\u104b\u1362\u1367\u1368\u166e\u1735\u1736\u17d4\u17d5\u1803\u1809\u1944\u1945\u1aa8"
+    "\u1aa9\u1aaa\u1aab\u1b4e\u1b4f\u1b5a\u1b5b\u1b5e\u1b5f\u1b7d\u1b7e\u1b7f\u1c3b\u1c3c\u1c7e\u1c7f\u203c\u203d\u2047\u2048\u2049\u2cf9\u2cfa\u2cfb\u2e2e\u2e3c"
+    "\u2e53\u2e54\ua4ff\ua60e\ua60f\ua6f3\ua6f7\ua876\ua877\ua8ce\ua8cf\ua92f\ua9c8\ua9c9\uaa5d\uaa5e\uaa5f\uaaf0\uaaf1\uabeb\ufe12\ufe15\ufe16\ufe52\ufe56\ufe57"
+    "\uff0e\uff61\U00010a56\U00010a57\U00010f55\U00010f56\U00010f57\U00010f58\U00010f59\U00010f86\U00010f87\U00010f88\U00010f89\U00011047\U00011048\U000110be"
+    "\U000110bf\U000110c0\U000110c1\U00011141\U00011142\U00011143\U000111c5\U000111c6\U000111cd\U000111de\U000111df\U00011238\U00011239\U0001123b\U0001123c\U000112a9"
+    "\U0001144b\U0001144c\U000115c2\U000115c3\U00011641\U00011642\U0001173c\U0001173d\U0001173e\U00011944\U00011946\U00011a42\U00011a43\U00011a9b\U00011a9c\U00011c41"
+    "\U00011c42\U00011ef7\U00011ef8\U00011f43\U00011f44\U00016a6e\U00016a6f\U00016af5\U00016b37\U00016b38\U00016b44\U00016e98\U0001bc9f\U0001da88"
+)
+_END = re.compile(f"[.!?…。！？।؟۔{_TERMINAL}]+")
+#: Marks that are no part of words or numbers.
+_ALWAYS = "。！？।؟!?" + _TERMINAL
 _CLOSERS = "\"'”’»)]」』）›"
 _SPANS = re.compile(r"“[^“”]*”|«[^«»]*»|„[^„“”]*[“”]|「[^「」]*」|『[^『』]*』|\"[^\"]*\"|(?<!\w)'(?=\S)(?:[^'\n]|\n(?!\n)|(?<=\w)'(?=\w))*'(?!\w)|\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]")
 _LAST = re.compile(r"[^\s(\[{\"“«„‘'`（「『]*$")
 _NEXT_WORD = re.compile(r"[^\W\d_](?:[^\W_]|['’_-](?=\w))*")
-_THAI = re.compile("[฀-๿]")
+#: Scripts that part sentences by blanks: Thai, Lao, Khmer, Tai Tham.
+_THAI = re.compile("[\u0e00-\u0eff\u1780-\u17d3\u17d7\u17dc-\u17ff\u19e0-\u19ff\u1a20-\u1aad]")
 _BLANKS = re.compile(r"\s+")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
-_UNCASED = re.compile("[֐-෿฀-ჿ぀-鿿]")
+_UNCASED = re.compile("[֐-෿฀-ჿ\u1200-\u139f\u1700-\u1c4f぀-鿿]")
 
 
 def layout(text: str) -> list[tuple[int, int, bool, int]]:
@@ -231,7 +244,7 @@ def candidates(text: str, masked: str, a: int, b: int) -> list[Candidate]:
             c = part[nxt]
             if c.isdigit() or before in ("<I>", "<none>", "<start>") or c in ",;:-_/\\%=&@#*+":
                 continue
-        if glued and part[nxt] in ",;:，、；：":
+        if glued and (part[nxt] in ",;:，、；：" or mark in "．﹒" and part[nxt].isdigit()):
             continue
         out.append(Candidate(a + e, a + nxt, mark, before, following, glued, closed))
     if thai:
@@ -299,10 +312,10 @@ class SentenceModel:
         if c.mark == "_":
             return self.can_start(c.after, True) == "start"
         start = self.can_start(c.after)
-        if c.mark in "。！？।؟!?" and c.mark != "..." and not c.closed:
+        if c.mark in _ALWAYS and c.mark != "..." and not c.closed:
             return not (start == "never" and c.after[0].islower())
         if c.closed or c.mark == "...":
-            return start in ("start", "upper") or (start == "uncased" and c.mark in "。！？।؟") or (start in ("digit", "sign") and not c.closed)
+            return start in ("start", "upper") or (start == "uncased" and c.mark in _ALWAYS and c.mark not in "!?") or (start in ("digit", "sign") and not c.closed)
         end = self.can_end(c.before)
         if c.glued:
             return start == "start" and (c.after[0].isupper() or end not in ("<n>", "abbr")) or (start == "upper" and end == "word" and len(c.after) > 1 and c.after[1:].islower() and not c.before[-1].isupper())
