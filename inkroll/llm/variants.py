@@ -2,10 +2,13 @@
 
 Every spelling is rewritten under fixed rules: titles dropped, nicknames to formal names, given names to
 initials, legal forms and abbreviations to full words, accents and token order removed, acronyms to their
-letters, and for typing errors the forms with one letter left out. Spellings that share a form meet in an
-equi-join on it; what they share is verified and scored by the rarity of the rewriting (an exact full form
-is rarest, a lone initial most common). A spelling joins the entity of its best partner; if its best form
-fits several entities it stays alone.
+letters, and for typing errors the forms with one letter left out. A reading is looked up under its forms
+among the forms of full names, and what it meets is scored by the rarity of the rewriting (an exact full
+form is rarest, a lone initial most common). A spelling joins the entity of its best partner; if its best
+form fits several entities it stays alone.
+
+No form gathers pairs: the full names of a form are first combined to one row (the most frequent, and the
+two ends of the range of names, which tell whether the form is ambiguous), and each reading meets that row.
 
 Family names and given names are told apart by rarity, too: words that occur in many different names are
 given names or generic words of organisations. Those are counted over all rows.
@@ -13,10 +16,14 @@ given names or generic words of organisations. Those are counted over all rows.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,12 +56,16 @@ john: jack johnny jon | joseph: joe jo joey | katherine: kat kathy kate katie ki
 michael: mike mick mickey mikey | nicholas: nick nico nicky | patricia: pat trish patty tricia | penelope: penny nell | richard: rick rich dick ricky richie | robert: bob bobby rob robbie bert | samuel: sam sammy
 susanna: sue sanna susie suzy | theodore: ted theo teddy | thomas: tom tommy | victoria: vicky tori vic | william: bill will billy willy liam | andrew: andy drew | daniel: danny | david: dave davey
 """.replace("\n", "|")
-#: A word is common if it occurs in at least this share of the different names (and in eight).
+#: A word is common if it occurs in at least this share of the different names,
 COMMON = 0.0005
-#: Two spellings of a family name that differ by an accent or a letter stay apart if both are this frequent
-MAJOR = 6
-#: and the rarer one is not rarer than this share of the other.
+#: to which so many imagined names without it are added, as a few names in a small table say little about a word.
+PRIOR = 16_000
+#: Two names that differ by an accent or a letter stay apart if both have this many times the rows of a typical spelling (the geometric mean)
+FREQUENT = 2.0
+#: and the rarer one is not rarer than this share of the other. Both are ratios: the same rows several times over change nothing.
 MAJOR_SHARE = 0.1
+#: Families per shard when families of one letter's difference are sought: what one task sorts, some twelve forms of ten bytes each.
+SHARD = 200_000
 
 ROOTS: dict[str, tuple[str, ...]] = {}
 for _entry in SHORT_FORMS.split("|"):
@@ -131,28 +142,52 @@ def rewrite(name: str, common: frozenset[str]) -> tuple[str, list[tuple]]:
     return cls, found or [("m", pool[0][0], pool[0][1], "", "")]
 
 
-def _shorter(text: str) -> set[str]:
-    """The text and the text with one letter left out."""
-    return {text, *(text[:i] + text[i + 1 :] for i in range(len(text)))}
+def shortened(word: str) -> list[str]:
+    """The word with one letter left out."""
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
+class GivenNames:
+    """Rewritings of a given name into known ones: short forms, typing errors, beginnings. Known are the common words and the fixed lists."""
+
+    def __init__(self, common: frozenset[str]) -> None:
+        self.known = {w for w in {*common, *FORMAL, *ROOTS} if len(w) > 1}
+        self.near: dict[str, set[str]] = defaultdict(set)
+        self.starts: dict[str, set[str]] = defaultdict(set)
+        for w in self.known:
+            for form in (w, *shortened(w)):
+                self.near[form].add(w)
+            for n in range(2, len(w)):
+                self.starts[w[:n]].add(w)
+        self.rewritings = cache(self.rewritings)
 
+    def rewritings(self, kind: str, given: str) -> str:
+        """Scores and names like ``55:robert 40:bobby``."""
+        if kind not in "fpw" or len(given) < 2:
+            return ""
+        found = dict.fromkeys(sorted(self.starts.get(given, ())), 40)
+        if kind != "f" and len(given) > 2:
+            found |= {w: 50 for form in (given, *shortened(given)) for w in sorted(self.near.get(form, ())) if w != given}
+        found |= dict.fromkeys(ROOTS.get(given, ()), 55)
+        found.pop(given, None)
+        return " ".join(f"{score}:{w}" for w, score in sorted(found.items()))
 
-def exact_forms(kind: str, family: str, given: str, middle: str) -> list[str]:
-    """Forms with the family name as it is: with every initial the given name can have, and without its start."""
-    if kind == "m" or len(family) < 2:
-        return []
-    if kind in "oa":
-        return [f"o{family}|{middle}"]
-    out = [f"i{family}|{c}" for c in sorted({given[0], *(r[0] for r in ROOTS.get(given, ()))})]
-    return [*out, f"t{family}|{given[1:]}", f"t{family}|{given[2:]}"] if len(given) > 3 else out
 
+#: No middle initial, as a number of a bit. Latin letters are 0 to 25, those of other scripts share 27 to 62 by code point.
+NO_MIDDLE = 26
 
-def typo_forms(stem: str) -> set[str]:
-    """A form and its versions with one letter of the family name left out, a run of equal letters once."""
-    family, _, rest = stem.partition("|")
-    return {stem, *(f"{family[:i]}{family[i + 1 :]}|{rest}" for i in range(1, len(family)))}
 
+def middle_bit(middle: str) -> int:
+    c = middle[:1]
+    return NO_MIDDLE if not c else ord(c) - 97 if "a" <= c <= "z" else 27 + ord(c) % 36
 
-_PARSED = "name string, weight long, cls string, kind string, family string, accented string, given string, middle string, first boolean, several boolean"
+
+_PARSED = "name string, weight long, cls string, kind string, family string, accented string, given string, letters string, others string, free boolean, middles long, first boolean, several boolean"
+
+
+def typical_weight(names: DataFrame) -> float:
+    """The geometric mean of the rows of the different names."""
+    return math.exp(names.agg(F.avg(F.ln(F.greatest("weight", F.lit(1)))).alias("m")).first().m or 0.0)
 
 
 def common_words(names: DataFrame) -> frozenset[str]:
@@ -160,76 +195,130 @@ def common_words(names: DataFrame) -> frozenset[str]:
     total = names.count()
     # Cased look-alikes and accents are few among common words; they are made plain here.
     words = names.select(F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), "[^\\p{L}\\p{N}]+"), lambda x: F.length(x) > 1))).alias("w"))
-    found = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(8, COMMON * total)).select("w").collect()
+    found = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON * (total + PRIOR)).select("w").collect()
     return frozenset(plain(canonical_text(r.w) or "") for r in found)
 
 
 def parse(names: DataFrame, common: frozenset[str]) -> DataFrame:
-    """One row per spelling and reading."""
+    """One row per spelling and reading.
+
+    ``letters`` is the acronym of an organisation, and the middle initial of a reading with initials only (a bit's number);
+    ``others`` are the rewritings of the given name; ``free``: it is no known word; ``middles``: the middle initial as a bit.
+    """
     shipped = names.sparkSession.sparkContext.broadcast(common)
+    columns = [x.split() for x in _PARSED.split(", ")]
+    types = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
+        given_names = GivenNames(known)
         for batch in batches:
             rows = []
             for name, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cls, found = rewrite(name, known)
                 if cls:
                     for n, (kind, family, accented, given, middle) in enumerate(found):
-                        rows.append((name, weight, cls, kind, family if family != accented else None, accented, given, middle, n == 0, len(found) > 1))
-            columns = list(zip(*rows, strict=True)) or [()] * 10
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 1 else pa.bool_() if k > 7 else pa.string()) for k, c in enumerate(columns)], names=["name", "weight", "cls", "kind", "family", "accented", "given", "middle", "first", "several"])
+                        bit = middle_bit(middle) if kind in "fpwi" else 0
+                        letters = middle if kind in "oa" else str(bit) if kind == "i" and bit != NO_MIDDLE else ""
+                        rows.append((name, weight, cls, kind, family, accented if family != accented else None, given, letters, given_names.rewritings(kind, given), given not in given_names.known, 1 << bit if kind in "fpwi" else 0, n == 0, len(found) > 1))
+            values = list(zip(*rows, strict=True)) or [()] * len(columns)
+            yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(values, columns, strict=True)], names=[c for c, _ in columns])
 
     return names.select("name", "weight").mapInArrow(run, _PARSED)
 
 
 def _key(*parts: Column | str) -> Column:
-    """40 bits of a hash: what meets by chance is told apart by the score, and the zero bytes compress away."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 24)
-
-
-_SIDE = "node bigint, kind string, family string, accented string, given string, middle string, support bigint, multi boolean"
-
+    """48 bits of a hash: what meets by chance is told apart by the score, and the zero bytes compress away."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 16)
 
-def _explode_forms(nodes: DataFrame) -> DataFrame:
-    """All columns of a reading for each of its exact forms: ``key``, and ``stem`` where it has typo forms."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            index, out, stems = [], [], []
-            for r, (kind, family, accented, given, middle) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True)):
-                family = family or accented
-                for form in exact_forms(kind, family, given, middle) or [f"m{accented}"]:  # at least one row per reading
-                    index.append(r)
-                    out.append(form)
-                    stems.append(form[0] not in "tm" and len(family) > 3)  # as in the score
-            at = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(8)), pa.array(out, pa.string()), pa.array(stems, pa.bool_())], names=[x.split()[0] for x in _SIDE.split(", ")] + ["form", "typos"])
 
-    found = nodes.select(*[x.split()[0] for x in _SIDE.split(", ")]).mapInArrow(run, _SIDE + ", form string, typos boolean")
-    return found.select("*", _key("form").alias("key"))
+# Odd numbers that mix the bits of a hash.
+_BASE, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
-def _near_stems(stems: DataFrame) -> DataFrame:
-    """Pairs of stems that share a form with one letter less.
+def deletion_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the word and hash of every form of it: itself and with one letter left out, a run of equal letters once.
 
-    The stems of one form are gathered in an array. That is bounded by the alphabet: all of them are
-    the form with one letter put in somewhere, and each stem occurs once, however many rows it stands for.
+    A hash is a polynomial of the letters, so that of a form without a letter is made of two partial sums: time and
+    memory are linear in the letters.
     """
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    index, forms, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(order):
+        width = len(words[order[at]])
+        end = at
+        while end < len(order) and len(words[order[end]]) == width and (end == at or (end - at) * width < 1_000_000):
+            end += 1
+        rows = np.array(order[at:end], np.int64)
+        at = end
+        if not width:
+            continue
+        codes = np.frombuffer("".join(words[k] for k in rows).encode("utf-32-le"), np.uint32).reshape(len(rows), width).astype(np.uint64)
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(width - 1, _BASE, np.uint64)]), dtype=np.uint64)
+        sums = np.cumsum((codes + np.uint64(7)) * powers, axis=1, dtype=np.uint64)
+        total = sums[:, -1:]
+        before = np.concatenate([np.zeros((len(rows), 1), np.uint64), sums[:, :-1]], axis=1)
+        found = np.concatenate([total, before + (total - sums) * np.uint64(_BACK)], axis=1)
+        fresh = np.ones(found.shape, bool)
+        fresh[:, 2:] = codes[:, 1:] != codes[:, :-1]
+        index.append(np.repeat(rows, fresh.sum(axis=1)))
+        forms.append(found[fresh])
+    mixed = np.concatenate(forms)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(_MIX)
+    return np.concatenate(index), mixed ^ (mixed >> np.uint64(29))
+
+
+def near_families(heads: DataFrame, shards: int) -> DataFrame:
+    """Families ``fam, near`` that share a form with one letter less, both ways; told apart by the letters later.
+
+    Forms travel packed, four bytes of the form's hash and six of the family's, one row per batch and bucket; a task sorts the
+    forms of its buckets. The families of one form are bounded by the alphabet: all are the form with one letter put in
+    somewhere, and each family occurs once, however many names have it. ``heads`` has one row per ``fam, family``.
+    """
+    buckets = 16 * shards
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, out = [], []
-            for r, stem in enumerate(batch.column(1).to_pylist()):
-                found = typo_forms(stem)
-                out += found
-                index += [r] * len(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(out, pa.string())], names=["stem", "form"])
-
-    forms = stems.select("key", "form").mapInArrow(run, "stem bigint, form string").select("stem", _key("form").alias("form"))
-    # Numbers are shuffled as they are: partial arrays of one element would be larger.
-    shared = forms.repartition("form").groupBy("form").agg(F.collect_list("stem").alias("stems")).where(F.size("stems") > 1)
-    return shared.select(F.explode("stems").alias("a"), "stems").select("a", F.explode("stems").alias("b")).where("a <> b").distinct()
+            index, forms = deletion_hashes(batch.column(1).to_pylist())
+            fams = batch.column(0).to_numpy().astype("<u8")[index]
+            bucket = (forms >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            packed = np.empty((len(order), 10), np.uint8)
+            packed[:, :4] = (forms[order] & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)
+            packed[:, 4:] = fams[order].view(np.uint8).reshape(-1, 8)[:, :6]
+            kept, starts = np.unique(bucket[order], return_index=True)
+            ends = [*starts[1:].tolist(), len(order)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int64)), pa.array([packed[a:b].tobytes() for a, b in zip(starts.tolist(), ends, strict=True)], pa.binary())], names=["bucket", "packed"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, at = [], []
+        for batch in batches:
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = np.frombuffer(packed.as_buffer(), np.uint8).reshape(-1, 10)
+                parts.append(rows)
+                at.append(np.full(len(rows), bucket, np.uint64))
+        if not parts:
+            return
+        rows, bucket = np.concatenate(parts), np.concatenate(at)
+        key = (bucket << np.uint64(32)) | rows[:, :4].copy().view("<u4").reshape(-1).astype(np.uint64)
+        fam = np.zeros((len(rows), 8), np.uint8)
+        fam[:, :6] = rows[:, 4:]
+        order = np.argsort(key)
+        key, fam = key[order], fam.view("<i8").reshape(-1)[order]
+        left, right, step = [], [], 1
+        while len(same := np.flatnonzero(key[:-step] == key[step:])) if step < len(key) else False:
+            left += [fam[same], fam[same + step]]
+            right += [fam[same + step], fam[same]]
+            step += 1
+        if left:
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["fam", "near"])
+
+    some = heads.where(F.length("family") > 2).select("fam", "family")
+    packed = some.mapInArrow(pack, "bucket long, packed binary").repartition(shards, "bucket")
+    return packed.mapInArrow(meet, "fam long, near long").distinct()
 
 
 def _one_off(a: Column, b: Column) -> Column:
@@ -238,41 +327,99 @@ def _one_off(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1).between(0, 1) | swapped
 
 
-def _score() -> Column:
-    """How rare the rewriting is that makes reading u one of v; null if none does."""
-    u, v = "u", "v"
-    roots = F.create_map(*[F.lit(x) for k, r in sorted(ROOTS.items()) for x in (k, " ".join(r))])
-    c = lambda side, name: F.col(f"{side}_{name}") if name != "family" else F.coalesce(f"{side}_family", f"{side}_accented")
-    same, given_u, given_v = c(u, "family") == c(v, "family"), c(u, "given"), c(v, "given")
-    near = _one_off(c(u, "family"), c(v, "family")) & (F.length(c(u, "family")) > 3)
-    person = c(v, "kind").isin("f", "p") & c(u, "kind").isin("f", "p", "w", "i")
-    middle = (c(u, "middle") == "") | (c(v, "middle") == "") | (c(u, "middle") == c(v, "middle"))
-    initial = (c(u, "kind") == "i") & F.startswith(given_v, given_u) & middle
-    short = F.coalesce(F.array_contains(F.split(roots[given_u], " "), given_v), F.lit(False))
-    prefix = (F.length(given_u) > 1) & (given_u != given_v) & F.startswith(given_v, given_u)
-    typo = c(u, "kind").isin("p", "w") & (F.length(given_u) > 2) & _one_off(given_u, given_v)
-    major = (F.least(c(u, "support"), c(v, "support")) >= MAJOR) & (c(u, "support") >= MAJOR_SHARE * c(v, "support"))
-    smaller = F.struct(c(u, "support"), c(u, "accented"), c(u, "given")) < F.struct(c(v, "support"), c(v, "accented"), c(v, "given"))
-    grows = (c(v, "kind") == "f") & (c(u, "kind") != "f") | smaller
-    by_person = (
-        F.when(same & (given_u == given_v) & (c(u, "kind") != "i"), F.when(~major & grows, 60))
-        .when(same & short, 55)
-        .when(same & typo & grows & ~major, 50)
-        .when(same & prefix & (c(u, "kind") != "i") & grows & ~major, 40)
-        .when(same & initial, 30)
-        .when(near & (given_u == given_v) & (c(u, "kind") != "i"), F.when(~major & smaller, 20))
-        .when(near & (short | prefix & (c(u, "kind") != "i") & ~major), 12)
-        .when(near & initial, 10)
+def _less_one(text: Column) -> Column:
+    """All forms of a text with one letter left out, and itself."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))))
+
+
+def _forms(live: DataFrame, *entries: tuple[Column, Column]) -> Column:
+    """One array of all entries whose condition holds; an entry is an array of structs."""
+    return F.flatten(F.array(*[F.when(test, found).otherwise(F.array().cast("array<struct<key:bigint,rank:int,tag:string>>")) for test, found in entries]))
+
+
+def _entry(key: Column, rank: int | Column = 0, tag: Column | None = None) -> Column:
+    return F.struct(key.alias("key"), (F.lit(rank) if isinstance(rank, int) else rank).cast("int").alias("rank"), (F.lit("") if tag is None else tag).alias("tag"))
+
+
+def _targets(live: DataFrame) -> DataFrame:
+    """One row per form of full names: the most frequent, known given names first, and the ends of the range of names under the form."""
+    c, fam, acc = F.col, F.col("fam"), F.xxhash64(F.coalesce("accented", "family"))
+    person, organisation = c("kind").isin("f", "p"), c("kind") == "o"
+    first = F.substring("given", 1, 1)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.getbit(F.col("middles"), b) == 1)
+    forms = _forms(
+        live,
+        (person, F.array(_entry(_key(F.lit("g"), fam, "given")), _entry(_key(F.lit("i"), fam, first, F.lit(""))))),
+        (person, F.transform(bits, lambda b: _entry(_key(F.lit("i"), fam, first, b.cast("string"))))),
+        (person & c("accents"), F.array(_entry(_key(F.lit("G"), acc, "given")), _entry(_key(F.lit("I"), acc, first, F.lit(""))))),
+        (person & c("accents"), F.transform(bits, lambda b: _entry(_key(F.lit("I"), acc, first, b.cast("string"))))),
+        (person & c("free") & (F.length("given") > 2), F.transform(F.sequence(F.lit(2), F.length("given") - 1), lambda n: _entry(_key(F.lit("x"), fam, F.substring(c("given"), F.lit(1), n))))),
+        (person & c("free") & c("unknown") & (F.length("given") > 1), F.transform(_less_one(c("given")), lambda x: _entry(_key(F.lit("d"), fam, x), 0, c("given")))),
+        (organisation, F.array(_entry(_key(F.lit("o"), fam, "given")), _entry(_key(F.lit("a"), fam, "letters")))),
+        (organisation & c("accents"), F.array(_entry(_key(F.lit("O"), acc, "given")), _entry(_key(F.lit("A"), acc, "letters")))),
+        (organisation & c("organisations"), F.transform(_less_one(c("given")), lambda x: _entry(_key(F.lit("e"), fam, x), 0, c("given")))),
+    )
+    rows = live.where(person | organisation).select(F.explode(forms).alias("f"), (c("kind") == "f").alias("sure"), "support", "node", F.concat_ws("|", "family", "given").alias("whose"))
+    top = F.max(F.struct("sure", "support", "node", "whose"))
+    return rows.groupBy("f.key", "f.tag").agg(top.alias("v"), F.min("whose").alias("a"), F.max("whose").alias("b")).drop("tag")
+
+
+def _probes(live: DataFrame, near: DataFrame) -> DataFrame:
+    """The forms under which every reading is looked up, with the rank of the rewriting."""
+    c, fam, acc = F.col, F.col("fam"), F.xxhash64(F.coalesce("accented", "family"))
+    person, organisation = c("kind").isin("f", "p", "w"), c("kind") == "o"
+    others = F.filter(F.split("others", " "), lambda x: x != "")
+    rank, name = lambda x: F.substring_index(x, ":", 1).cast("int"), lambda x: F.substring_index(x, ":", -1)
+    middles = F.when(c("letters") == "", F.array(F.lit(""))).otherwise(F.array("letters", F.lit(str(NO_MIDDLE))))
+    own = _forms(
+        live,
+        (person & (c("kind") != "f"), F.array(_entry(_key(F.lit("g"), fam, "given"), 60))),
+        (person & c("accents"), F.array(_entry(_key(F.lit("g"), fam, "given"), 60), _entry(_key(F.lit("G"), acc, "given"), 61))),
+        (person, F.transform(others, lambda x: _entry(_key(F.lit("g"), fam, name(x)), rank(x)))),
+        (person & c("accents"), F.transform(others, lambda x: _entry(_key(F.lit("G"), acc, name(x)), rank(x) + 1))),
+        (person & (F.length("given") > 1), F.array(_entry(_key(F.lit("x"), fam, "given"), 40))),
+        (c("kind").isin("p", "w") & c("unknown") & (F.length("given") > 2), F.transform(_less_one(c("given")), lambda x: _entry(_key(F.lit("d"), fam, x), 50))),
+        (c("kind") == "i", F.transform(middles, lambda m: _entry(_key(F.lit("i"), fam, "given", m), 30))),
+        ((c("kind") == "i") & c("accents"), F.transform(middles, lambda m: _entry(_key(F.lit("I"), acc, "given", m), 31))),
+        (organisation & c("accents"), F.array(_entry(_key(F.lit("o"), fam, "given"), 60), _entry(_key(F.lit("O"), acc, "given"), 61))),
+        (organisation & c("organisations"), F.transform(_less_one(c("given")), lambda x: _entry(_key(F.lit("e"), fam, x), 45))),
+        (c("kind") == "a", F.array(_entry(_key(F.lit("a"), fam, "letters"), 35))),
+        ((c("kind") == "a") & c("accents"), F.array(_entry(_key(F.lit("A"), acc, "letters"), 36))),
     )
-    org = (c(v, "kind") == "o") & c(u, "kind").isin("o", "a")
-    by_org = (
-        F.when(same & (c(u, "kind") == "a"), 35)
-        .when(same & (given_u == given_v) & ~major & smaller, 60)
-        .when(same & (c(u, "kind") == "o") & _one_off(given_u, given_v) & ~major & smaller, 45)
-        .when(near & (c(u, "kind") == "o") & (given_u == given_v) & ~major & smaller, 25)
-        .when(near & (c(u, "kind") == "a"), 15)
+    to = F.col("near")
+    off = _forms(
+        live,
+        (person, F.array(_entry(_key(F.lit("g"), to, "given"), 20))),
+        (person, F.transform(F.filter(others, lambda x: rank(x) != 50), lambda x: _entry(_key(F.lit("g"), to, name(x)), F.when(rank(x) == 55, 13).otherwise(12)))),
+        (person & (F.length("given") > 1), F.array(_entry(_key(F.lit("x"), to, "given"), 12))),
+        (c("kind") == "i", F.transform(middles, lambda m: _entry(_key(F.lit("i"), to, "given", m), 10))),
+        (organisation, F.array(_entry(_key(F.lit("o"), to, "given"), 25))),
+        (c("kind") == "a", F.array(_entry(_key(F.lit("a"), to, "letters"), 15))),
     )
-    return F.when(person & middle, by_person).when(org, by_org) + F.when(c(u, "accented") == c(v, "accented"), 1).otherwise(0)
+    kept = [c("node").alias("u"), c("support").alias("u_support"), c("kind").alias("u_kind"), c("family").alias("u_family"), c("given").alias("u_given")]
+    beside = live.where(F.length("family") > 3).join(near, "fam").select(F.explode(off).alias("f"), *kept)
+    return live.select(F.explode(own).alias("f"), *kept).unionByName(beside).select("f.key", "f.rank", *[k for k in ("u", "u_support", "u_kind", "u_family", "u_given")])
+
+
+def _edges(live: DataFrame, near: DataFrame, typical: float) -> DataFrame:
+    """``u, kind, score, v, support, a, b``: what every reading meets, kept if the rewriting holds."""
+    met = _probes(live, near).join(_targets(live), "key").where("u <> v.node")
+    c, rank = F.col, F.col("rank")
+    v_family, v_given = F.substring_index("v.whose", "|", 1), F.substring_index("v.whose", "|", -1)
+    smaller = (c("u_support") < c("v.support")) | (c("u_support") == c("v.support")) & (c("u") < c("v.node"))
+    grows = (c("v.sure") & (c("u_kind") != "f")) | smaller
+    apart = (F.least("u_support", "v.support") >= F.lit(FREQUENT * typical)) & (c("u_support") >= MAJOR_SHARE * c("v.support"))
+    holds = (
+        F.when(rank.isin(60, 61), ~apart & F.when(c("u_kind") == "o", smaller).otherwise(grows))
+        .when(rank.isin(50, 51), ~apart & grows & _one_off(c("u_given"), v_given))
+        .when(rank == 45, ~apart & smaller & _one_off(c("u_given"), v_given))
+        .when(rank.isin(40, 41), ~apart & grows)
+        .when(rank.isin(20, 25), ~apart & smaller)
+        .when(rank == 12, ~apart)
+        .otherwise(True)
+    )
+    beside = (rank < 30) & ~_one_off(c("u_family"), v_family)
+    return met.where(holds & ~beside).select("u", c("u_kind").alias("kind"), rank.alias("score"), c("v.node").alias("v"), c("v.support").alias("support"), "a", "b")
 
 
 def rooted(parents: DataFrame) -> DataFrame:
@@ -303,40 +450,49 @@ def link_variants(names: DataFrame, paired_only: bool = False) -> DataFrame:
     ``names`` has one row per different ``name`` (not null) and its ``weight`` in rows. Empty names and names without letters
     or digits get no row; an empty table gives none. Spellings of one class always share their entity.
     With ``paired_only`` entities of one class may be left out, which have no pairs.
-    Forms, nodes and classes are numbers in all joins. Stems (family name and initial) get their forms with one letter less
-    once, however many given names and spellings they have.
+
+    Readings equal but for format are one node. Only nodes whose family has several, or one letter's difference to another, can have
+    links; the others leave before the forms are made. Middle initials are no part of a node: an entity in
+    which several occur is parted by them at the end, and spellings without one then are an entity of their own.
     """
-    parsed = materialise(parse(spread(names), common_words(names)).withColumn("cls", F.xxhash64("cls")))
-    key = ["kind", "accented", "given", "acronym"]
-    parsed = parsed.withColumn("acronym", F.when(F.col("kind") == "a", F.col("middle")).otherwise("")).withColumn("node", F.xxhash64(*key))
-    nodes = parsed.groupBy("node").agg(F.sum("weight").alias("support"), F.max("middle").alias("middle"), (F.min("cls") != F.max("cls")).alias("multi"), *[F.any_value(c).alias(c) for c in ("kind", "family", "accented", "given")])
-    exact = materialise(_explode_forms(nodes))
-    near = _near_stems(exact.where("typos").select("key", "form").distinct())
-    sides = exact.where("kind <> 'm'").drop("form", "typos", "multi")
-    u, v = sides.alias("u"), sides.alias("v")
-    columns = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "uv" for c in sides.columns if c != "key"]
-    meets = u.join(v, (F.col("u.key") == F.col("v.key"))).select(*columns)
-    far = u.join(near, F.col("u.key") == F.col("a")).join(v, F.col("b") == F.col("v.key")).select(*columns)
-    # Conditions on one side stay out of the joins, so that all four sides read one and the same exchange.
-    edges = meets.unionByName(far).withColumn("score", F.when(F.col("u_node") != F.col("v_node"), _score())).where("score is not null")
-    edges = edges.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), F.col("v_support").alias("support"), F.concat_ws("|", F.coalesce("v_family", "v_accented"), "v_given").alias("whose"), F.col("u_kind").alias("kind"), "score")
-    ranked = edges.withColumn("_best", F.max("score").over(Window.partitionBy("u"))).where("score = _best")
-    top = ranked.groupBy("u", "score", "kind").agg(F.max(F.struct("support", "v"))["v"].alias("v"), F.min("whose").alias("a"), F.max("whose").alias("b"))
-    parents = materialise(top.where("a = b or startswith(b, a) or levenshtein(a, b, 2) between 0 and 2 or (kind <> 'i' and score >= 20 and score not between 40 and 41)").select("u", "v", "score"))
+    typical = typical_weight(names)
+    parsed = parse(names, common_words(names)).withColumn("cls", F.xxhash64("cls"))
+    parsed = materialise(parsed.withColumn("node", F.xxhash64("kind", F.coalesce("accented", "family"), "given", "letters")))
+    traits = ["node", "kind", "family", "accented", "given", "letters", "others", "free"]
+    nodes = parsed.groupBy(*traits).agg(F.sum("weight").alias("support"), F.bit_or("middles").alias("middles"), (F.min("cls") != F.max("cls")).alias("multi"))
+    nodes = materialise(nodes.withColumn("fam", _key("family")))
+    accent = F.xxhash64(F.coalesce("accented", "family"))
+    heads = nodes.where((F.col("kind") != "m") & (F.length("family") > 1)).groupBy("fam", "family").agg(
+        (F.min("node") != F.max("node")).alias("several"), (F.min(accent) != F.max(accent)).alias("accents"), (F.count_if(F.col("kind") == "o") > 1).alias("organisations"), (F.count_if(F.col("kind").isin("p", "w") | F.col("free")) > 1).alias("unknown")
+    )
+    heads = materialise(heads)
+    near = materialise(near_families(heads, max(names.sparkSession.sparkContext.defaultParallelism, math.ceil(heads.count() / SHARD))))
+    flags = ["accents", "organisations", "unknown"]
+    marked = heads.where("several").select("fam", *flags).unionByName(near.select("fam", *[F.lit(False).alias(x) for x in flags]))
+    live = materialise(nodes.join(marked.groupBy("fam").agg(*[F.max(x).alias(x) for x in flags]), "fam"))
+    edges = _edges(live, near, typical).repartition("u")
+    best = edges.groupBy("u", "kind", "score").agg(F.max(F.struct("support", "v"))["v"].alias("v"), F.min("a").alias("a"), F.max("b").alias("b"))
+    best = best.groupBy("u").agg(F.max(F.struct("score", "kind", "v", "a", "b")).alias("t")).select("u", "t.*")
+    parents = materialise(best.where("a = b or startswith(b, a) or levenshtein(a, b, 2) between 0 and 2 or (kind <> 'i' and score >= 20 and score not between 40 and 41)").select("u", "v", "score"))
     parents = rooted(parents)
-    if paired_only:  # spellings with one reading whose node has one class and no link make no pairs
-        busy = exact.where("multi").select("node").unionByName(parents.select(F.col("u").alias("node"))).unionByName(parents.select(F.col("v").alias("node"))).distinct()
-        parsed = parsed.where("several").unionByName(parsed.where("not several").join(busy, "node", "left_semi").select(parsed.columns))
-    chosen = parsed.select("name", "cls", "node", "first", "several").join(parents.withColumnRenamed("u", "node"), "node", "left")
-    rank = F.struct(F.coalesce("score", F.when(F.col("first"), 0).otherwise(-1)).alias("score"), F.coalesce("v", "node").alias("entity"))
-    single = chosen.where("not several").select("name", "cls", F.coalesce("v", "node").alias("entity"))
-    return single.unionByName(chosen.where("several").groupBy("name", "cls").agg(F.max(rank)["entity"].alias("entity")))
+    # Only nodes that can be linked, or have several classes, can have pairs.
+    linkable = nodes.where("multi").select("node", "middles").unionByName(live.select("node", "middles")).distinct()
+    members = linkable.join(parents.withColumnRenamed("u", "node"), "node", "left").select("node", "middles", "score", F.coalesce("v", "node").alias("root"))
+    members = materialise(members)
+    roots = members.groupBy("root").agg(F.bit_or("middles").alias("all"))
+    members = members.join(roots, "root").select("node", "root", "score", (F.bit_count(F.col("all").bitwiseAND(F.lit(~(1 << NO_MIDDLE)))) > 1).alias("parted"))
+    chosen = parsed.select("name", "cls", "node", "middles", "first", "several").join(members, "node", "inner" if paired_only else "left")
+    entity = F.when(F.col("parted"), F.xxhash64("root", "middles")).otherwise(F.coalesce("root", "node")).alias("entity")
+    chosen = chosen.where("first or score is not null").select("name", "cls", "several", F.coalesce("score", F.lit(0)).alias("score"), entity)
+    single = chosen.where("not several").select("name", "cls", "entity")
+    return single.unionByName(chosen.where("several").groupBy("name", "cls").agg(F.max(F.struct("score", "entity"))["entity"].alias("entity")))
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:
     """All pairs of spellings of one entity that differ by more than format or look-alike characters.
 
     Only entities with several classes are joined with themselves; the copies within a class make no pairs.
+    The pairs are the result asked for; `link_variants` gives the same as membership, one row per spelling.
     """
     linked = materialise(linked)
     several = linked.groupBy("entity").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("entity")
@@ -347,7 +503,7 @@ def variant_pairs(linked: DataFrame) -> DataFrame:
 
 def _names(spark: SparkSession, folder: str) -> DataFrame:
     both = table(spark, folder, "author_counts").select(F.col("author").alias("name")).unionByName(table(spark, folder, "scored_candidates").select(F.col("candidate").alias("name")))
-    return materialise(both.where("name is not null").groupBy("name").agg(F.count("*").alias("weight")))
+    return spread(materialise(both.where("name is not null").groupBy("name").agg(F.count("*").alias("weight"))))
 
 
 def p1_entities(spark: SparkSession, folder: str) -> DataFrame:
