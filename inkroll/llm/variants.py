@@ -88,8 +88,8 @@ def plain(word: str) -> str:
 def rewrite(name: str, common: frozenset[str]) -> tuple[str, list[tuple]]:
     """The class of a spelling (its words, order and format removed) and its readings.
 
-    A reading is (kind, family, family with accents, given, middle initial, given was as written). Kinds: f full name, p and w
-    full name with an unknown given name (likelier and other order), i initials only, o organisation,
+    A reading is (kind, family, family with accents, given, middle initial, whether that was written as one). Kinds: f full
+    name, p and w full name with an unknown given name (likelier and other order), i initials only, o organisation,
     a organisation with an acronym, m a single word.
     """
     text = canonical_text(name) or ""
@@ -103,20 +103,20 @@ def rewrite(name: str, common: frozenset[str]) -> tuple[str, list[tuple]]:
         rest = list(kept)
         rest.remove(head) if head in rest else None
         others = sorted(t for t, _ in rest)
-        return cls, [("o", head[0], head[1], " ".join(others), "".join(sorted(t[0] for t in others)))]
+        return cls, [("o", head[0], head[1], " ".join(others), "".join(sorted(t[0] for t in others)), False)]
     if words and words[0][0] == "the":
         words = words[1:]
     long = [(p, a) for p, a in words if len(p) > 1]
     initials = [p for p, _ in words if len(p) == 1]
     if len(long) < 1 or len(words) < 2:
-        return cls, [("m", " ".join(p for p, _ in words), " ".join(a for _, a in words), "", "")]
+        return cls, [("m", " ".join(p for p, _ in words), " ".join(a for _, a in words), "", "", False)]
     rare = [x for x in long if x[0] not in common and x[0] not in ROOTS and x[0] not in FORMAL]
     known = [x for x in long if x not in rare]
     block = [x for x in rare if 2 <= len(x[0]) <= 4 and x[0].isalpha()] if len(long) == 2 and len(rare) == 2 and not initials else []
     found: list[tuple] = []
 
     def add(kind: str, family: list[tuple[str, str]], given: str, middle: str) -> None:
-        found.append((kind, " ".join(sorted(p for p, _ in family)), " ".join(sorted(a for _, a in family)), given, middle))
+        found.append((kind, " ".join(sorted(p for p, _ in family)), " ".join(sorted(a for _, a in family)), given, middle, middle in initials))
 
     if not known and initials and len(rare) <= 2 and (len(rare) == 1 or not block):
         if len(rare) == 1:
@@ -139,7 +139,7 @@ def rewrite(name: str, common: frozenset[str]) -> tuple[str, list[tuple]]:
         family = [x for j, x in enumerate(pool) if j != k]
         if family:
             add("w" if n or len(block) == 1 else "p", family, pool[k][0], initials[0] if initials else "")
-    return cls, found or [("m", pool[0][0], pool[0][1], "", "")]
+    return cls, found or [("m", pool[0][0], pool[0][1], "", "", False)]
 
 
 def shortened(word: str) -> list[str]:
@@ -203,7 +203,8 @@ def parse(names: DataFrame, common: frozenset[str]) -> DataFrame:
     """One row per spelling and reading.
 
     ``letters`` is the acronym of an organisation, and the middle initial of a reading with initials only (a bit's number);
-    ``others`` are the rewritings of the given name; ``free``: it is no known word; ``middles``: the middle initial as a bit.
+    ``others`` are the rewritings of the given name; ``free``: it is no known word; ``middles``: the middle initial as a bit, if it
+    was written as one (two letters after a family name may be a short given name).
     """
     shipped = names.sparkSession.sparkContext.broadcast(common)
     columns = [x.split() for x in _PARSED.split(", ")]
@@ -217,10 +218,10 @@ def parse(names: DataFrame, common: frozenset[str]) -> DataFrame:
             for name, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cls, found = rewrite(name, known)
                 if cls:
-                    for n, (kind, family, accented, given, middle) in enumerate(found):
+                    for n, (kind, family, accented, given, middle, written) in enumerate(found):
                         bit = middle_bit(middle) if kind in "fpwi" else 0
                         letters = middle if kind in "oa" else str(bit) if kind == "i" and bit != NO_MIDDLE else ""
-                        rows.append((name, weight, cls, kind, family, accented if family != accented else None, given, letters, given_names.rewritings(kind, given), given not in given_names.known, 1 << bit if kind in "fpwi" else 0, n == 0, len(found) > 1))
+                        rows.append((name, weight, cls, kind, family, accented if family != accented else None, given, letters, given_names.rewritings(kind, given), given not in given_names.known, (1 << (bit if written else NO_MIDDLE)) if kind in "fpwi" else 0, n == 0, len(found) > 1))
             values = list(zip(*rows, strict=True)) or [()] * len(columns)
             yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(values, columns, strict=True)], names=[c for c, _ in columns])
 
@@ -341,6 +342,10 @@ def _entry(key: Column, rank: int | Column = 0, tag: Column | None = None) -> Co
     return F.struct(key.alias("key"), (F.lit(rank) if isinstance(rank, int) else rank).cast("int").alias("rank"), (F.lit("") if tag is None else tag).alias("tag"))
 
 
+#: What is more frequent, the family first; the last one breaks ties.
+_ORDER = ("pull", "degree", "support", "node")
+
+
 def _targets(live: DataFrame) -> DataFrame:
     """One row per form of full names: the most frequent, known given names first, and the ends of the range of names under the form."""
     c, fam, acc = F.col, F.col("fam"), F.xxhash64(F.coalesce("accented", "family"))
@@ -359,8 +364,8 @@ def _targets(live: DataFrame) -> DataFrame:
         (organisation & c("accents"), F.array(_entry(_key(F.lit("O"), acc, "given")), _entry(_key(F.lit("A"), acc, "letters")))),
         (organisation & c("organisations"), F.transform(_less_one(c("given")), lambda x: _entry(_key(F.lit("e"), fam, x), 0, c("given")))),
     )
-    rows = live.where(person | organisation).select(F.explode(forms).alias("f"), (c("kind") == "f").alias("sure"), "support", "node", F.concat_ws("|", "family", "given").alias("whose"))
-    top = F.max(F.struct("sure", "support", "node", "whose"))
+    rows = live.where(person | organisation).select(F.explode(forms).alias("f"), (c("kind") == "f").alias("sure"), *_ORDER, F.concat_ws("|", "family", "given").alias("whose"))
+    top = F.max(F.struct("sure", *_ORDER, "whose"))
     return rows.groupBy("f.key", "f.tag").agg(top.alias("v"), F.min("whose").alias("a"), F.max("whose").alias("b")).drop("tag")
 
 
@@ -396,19 +401,19 @@ def _probes(live: DataFrame, near: DataFrame) -> DataFrame:
         (organisation, F.array(_entry(_key(F.lit("o"), to, "given"), 25))),
         (c("kind") == "a", F.array(_entry(_key(F.lit("a"), to, "letters"), 15))),
     )
-    kept = [c("node").alias("u"), c("support").alias("u_support"), c("kind").alias("u_kind"), c("family").alias("u_family"), c("given").alias("u_given")]
+    kept = [F.struct(*_ORDER).alias("u"), c("kind").alias("u_kind"), c("family").alias("u_family"), c("given").alias("u_given")]
     beside = live.where(F.length("family") > 3).join(near, "fam").select(F.explode(off).alias("f"), *kept)
-    return live.select(F.explode(own).alias("f"), *kept).unionByName(beside).select("f.key", "f.rank", *[k for k in ("u", "u_support", "u_kind", "u_family", "u_given")])
+    return live.select(F.explode(own).alias("f"), *kept).unionByName(beside).select("f.key", "f.rank", "u", "u_kind", "u_family", "u_given")
 
 
 def _edges(live: DataFrame, near: DataFrame, typical: float) -> DataFrame:
-    """``u, kind, score, v, support, a, b``: what every reading meets, kept if the rewriting holds."""
-    met = _probes(live, near).join(_targets(live), "key").where("u <> v.node")
+    """``u, kind, score, v, a, b``: what every reading meets, kept if the rewriting holds."""
+    met = _probes(live, near).join(_targets(live), "key").where("u.node <> v.node")
     c, rank = F.col, F.col("rank")
     v_family, v_given = F.substring_index("v.whose", "|", 1), F.substring_index("v.whose", "|", -1)
-    smaller = (c("u_support") < c("v.support")) | (c("u_support") == c("v.support")) & (c("u") < c("v.node"))
+    smaller = c("u") < F.struct(*[f"v.{x}" for x in _ORDER])
     grows = (c("v.sure") & (c("u_kind") != "f")) | smaller
-    apart = (F.least("u_support", "v.support") >= F.lit(FREQUENT * typical)) & (c("u_support") >= MAJOR_SHARE * c("v.support"))
+    apart = (F.least("u.support", "v.support") >= F.lit(FREQUENT * typical)) & (c("u.support") >= MAJOR_SHARE * c("v.support"))
     holds = (
         F.when(rank.isin(60, 61), ~apart & F.when(c("u_kind") == "o", smaller).otherwise(grows))
         .when(rank.isin(50, 51), ~apart & grows & _one_off(c("u_given"), v_given))
@@ -419,7 +424,7 @@ def _edges(live: DataFrame, near: DataFrame, typical: float) -> DataFrame:
         .otherwise(True)
     )
     beside = (rank < 30) & ~_one_off(c("u_family"), v_family)
-    return met.where(holds & ~beside).select("u", c("u_kind").alias("kind"), rank.alias("score"), c("v.node").alias("v"), c("v.support").alias("support"), "a", "b")
+    return met.where(holds & ~beside).select(c("u.node").alias("u"), c("u_kind").alias("kind"), rank.alias("score"), F.struct(*[f"v.{x}" for x in _ORDER]).alias("v"), "a", "b")
 
 
 def rooted(parents: DataFrame) -> DataFrame:
@@ -463,15 +468,16 @@ def link_variants(names: DataFrame, paired_only: bool = False) -> DataFrame:
     nodes = materialise(nodes.withColumn("fam", _key("family")))
     accent = F.xxhash64(F.coalesce("accented", "family"))
     heads = nodes.where((F.col("kind") != "m") & (F.length("family") > 1)).groupBy("fam", "family").agg(
-        (F.min("node") != F.max("node")).alias("several"), (F.min(accent) != F.max(accent)).alias("accents"), (F.count_if(F.col("kind") == "o") > 1).alias("organisations"), (F.count_if(F.col("kind").isin("p", "w") | F.col("free")) > 1).alias("unknown")
+        (F.min("node") != F.max("node")).alias("several"), (F.min(accent) != F.max(accent)).alias("accents"), (F.count_if(F.col("kind") == "o") > 1).alias("organisations"), (F.count_if(F.col("kind").isin("p", "w") | F.col("free")) > 1).alias("unknown"), F.sum("support").alias("pull")
     )
     heads = materialise(heads)
     near = materialise(near_families(heads, max(names.sparkSession.sparkContext.defaultParallelism, math.ceil(heads.count() / SHARD))))
-    flags = ["accents", "organisations", "unknown"]
-    marked = heads.where("several").select("fam", *flags).unionByName(near.select("fam", *[F.lit(False).alias(x) for x in flags]))
-    live = materialise(nodes.join(marked.groupBy("fam").agg(*[F.max(x).alias(x) for x in flags]), "fam"))
+    # Of two families of one letter's difference the one with more rows is right, else the one with more such neighbours.
+    marked = heads.drop("family").withColumn("degree", F.lit(0)).unionByName(near.groupBy("fam").agg(F.count("*").cast("int").alias("degree")), allowMissingColumns=True)
+    marked = marked.groupBy("fam").agg(*[F.max(x).alias(x) for x in ("several", "accents", "organisations", "unknown", "pull", "degree")])
+    live = materialise(nodes.join(marked.where("several or degree > 0").drop("several"), "fam"))
     edges = _edges(live, near, typical).repartition("u")
-    best = edges.groupBy("u", "kind", "score").agg(F.max(F.struct("support", "v"))["v"].alias("v"), F.min("a").alias("a"), F.max("b").alias("b"))
+    best = edges.groupBy("u", "kind", "score").agg(F.max("v")["node"].alias("v"), F.min("a").alias("a"), F.max("b").alias("b"))
     best = best.groupBy("u").agg(F.max(F.struct("score", "kind", "v", "a", "b")).alias("t")).select("u", "t.*")
     parents = materialise(best.where("a = b or startswith(b, a) or levenshtein(a, b, 2) between 0 and 2 or (kind <> 'i' and score >= 20 and score not between 40 and 41)").select("u", "v", "score"))
     parents = rooted(parents)
