@@ -120,11 +120,20 @@ def describe(df: DataFrame, column: str) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, keys: list[str], share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``is_test``: of every label the rounded share of rows with the smallest seeded hashes.
+    """Add ``is_test``: of every label the rounded share of rows with the smallest seeded hashes; ties go by the keys.
 
-    Hand-labelled sets are small, so one task per label ranks them; equal rows may change places.
+    Rows are counted per label and start of the hash, running sums of these counts find the one bucket in which the share
+    ends, and only the rows of that bucket are ranked: no task holds a label. Equal rows may change places.
     """
     order = F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed))))
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(order, *keys))
-    return df.withColumn("is_test", rank <= F.floor(F.count("*").over(w) * share + 0.5))
+    rows = df.withColumn("_o", order).withColumn("_b", F.substring("_o", 1, 4))
+    per = rows.groupBy(label, "_b").agg(F.count("*").alias("_n"))
+    of = Window.partitionBy(label)  # at most 65,536 rows per label
+    upto = F.sum("_n").over(of.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    bounds = per.select(F.col(label).alias("_l"), F.col("_b").alias("_k"), (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), F.floor(F.sum("_n").over(of) * share + 0.5).alias("_take"))
+    placed = rows.join(bounds, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_k"))).drop("_l", "_k")
+    split = (F.col("_before") < F.col("_take")) & (F.col("_upto") > F.col("_take"))
+    inside = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_o", *keys))
+    cut = placed.where(split).withColumn("is_test", F.col("_before") + inside <= F.col("_take"))
+    whole = placed.where(~split).withColumn("is_test", F.col("_upto") <= F.col("_take"))
+    return whole.unionByName(cut).select(*df.columns, "is_test")

@@ -6,11 +6,16 @@ counts per different score, a running sum over score buckets, and one within eac
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of [0, 1] for running counts; each is summed by one task.
-BUCKETS = 4096
+#: Buckets for running counts, of about equally many rows each; each is summed by one task.
+BUCKETS = 1024
+#: Rank accuracy of the sketch that gives their bounds; it decides how even the buckets are, not the result.
+ACCURACY = 10_000
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -56,9 +61,16 @@ def class_report(df: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 
 def running(df: DataFrame) -> DataFrame:
-    """Per different score ``s``: positives and negatives at it (``pos, neg``), from it up (``tp, fp``) and in all (``all_pos, all_neg``)."""
+    """Per different score ``s``: positives and negatives at it (``pos, neg``), from it up (``tp, fp``) and in all (``all_pos, all_neg``).
+
+    The bounds of the buckets are quantiles of the different scores from a sketch, so scores that pile up near 0 and 1, as
+    those of a model do, spread over all of them. What reaches the driver is one row of bounds.
+    """
     points = df.groupBy("s").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
-    points = points.withColumn("_b", F.least(F.greatest(F.floor(F.col("s") * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int"))
+    shares = [k / BUCKETS for k in range(1, BUCKETS)]
+    bounds = sorted(set(points.agg(F.percentile_approx("s", shares, ACCURACY).alias("b")).first().b or []))
+    found = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="s", outputCol="_b", handleInvalid="keep") if bounds else None  # binary search
+    points = found.transform(points) if found else points.withColumn("_b", F.lit(0.0))
     above = Window.partitionBy(F.lit(0)).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
     whole = Window.partitionBy(F.lit(0))
     after = Window.partitionBy(F.lit(0)).orderBy(F.desc("_b"))

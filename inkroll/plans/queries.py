@@ -132,12 +132,12 @@ def threshold_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def threshold_summary(spark: SparkSession, d: str) -> DataFrame:
-    out = TH.summarise(TH.apply_pairs(scored(spark, d).select("candidate", "person_score"), PAIRS))
+    out = TH.summarise_pairs(scored(spark, d).select("candidate", "person_score"), PAIRS)
     return out.select(*[F.round(c, 9).alias(c) if c.endswith("rate") else c for c in out.columns])
 
 
 def bucket_groups(spark: SparkSession, d: str) -> DataFrame:
-    out = TH.bucket_groups(TH.apply_pairs(scored(spark, d).select("candidate", "ner_label", "person_score"), PAIRS))
+    out = TH.group_pairs(scored(spark, d).select("candidate", "ner_label", "person_score"), PAIRS)
     return out.withColumn("mean_score", F.round("mean_score", 12))
 
 

@@ -25,28 +25,58 @@ def build_session(app: str = "inkroll", master: str | None = None, shuffle_parti
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a local one only where none is set (tests)."""
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a local session, whose executors are its own threads, may go without: it gets a temporary folder. Elsewhere that
+    would be a folder of one machine, so an error is raised.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "inkroll-checkpoints"))
+        if not named:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = os.path.join(tempfile.gettempdir(), "inkroll-checkpoints")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+_tables: dict[str, SparkSession] = {}
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder, which survives the loss of executors.
 
     A compressed columnar table is several times smaller than a checkpoint of rows and later reads prune
-    its columns. It is deleted when the Python process ends.
+    its columns. `release` deletes it when nothing will read it any more, `clear` all such tables; those left
+    are deleted when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/inkroll-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _tables[path] = spark
+    made = spark.read.schema(df.schema).parquet(path)
+    made._inkroll_table = path
+    return made
+
 
+def release(*frames: DataFrame) -> None:
+    """Delete the tables of frames that `materialise` returned; other frames are left alone."""
+    for frame in frames:
+        _delete(getattr(frame, "_inkroll_table", None))
 
-def _delete(spark: SparkSession, path: str) -> None:
+
+@atexit.register
+def clear() -> None:
+    """Delete all tables made so far: for when the results have been read or written."""
+    for path in list(_tables):
+        _delete(path)
+
+
+def _delete(path: str | None) -> None:
+    spark = _tables.pop(path, None)
+    if spark is None:
+        return
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -62,7 +92,7 @@ def spread(df: DataFrame) -> DataFrame:
     splits pass unchanged, so at scale this adds no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores * 2 else df
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() * 2 < cores else df
 
 
 def ship_package(spark: SparkSession) -> None:
