@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkroll.llm.lookalikes import canonical_text
-from inkroll.session import materialise, spread
+from inkroll.session import materialise, release, spread
 from inkroll.sources.tables import table
 
 # Titles.
@@ -182,7 +182,11 @@ def middle_bit(middle: str) -> int:
     return NO_MIDDLE if not c else ord(c) - 97 if "a" <= c <= "z" else 27 + ord(c) % 36
 
 
-_PARSED = "name string, weight long, cls string, kind string, family string, accented string, given string, letters string, others string, free boolean, middles long, first boolean, several boolean"
+_PARSED = "name string, weight long, cls string, reading string, middles long, first boolean, several boolean"
+# The fields of a reading: letters is the acronym of an organisation, and the middle initial of a reading with initials only (a
+# bit's number); others are the rewritings of the given name; free: the given name is no known word.
+_READING = ("kind", "family", "accented", "given", "letters", "free", "others")
+_PART = "\u0001"
 
 
 def typical_weight(names: DataFrame) -> float:
@@ -200,10 +204,7 @@ def common_words(names: DataFrame) -> frozenset[str]:
 
 
 def parse(names: DataFrame, common: frozenset[str]) -> DataFrame:
-    """One row per spelling and reading.
-
-    ``letters`` is the acronym of an organisation, and the middle initial of a reading with initials only (a bit's number);
-    ``others`` are the rewritings of the given name; ``free``: it is no known word; ``middles``: the middle initial as a bit, if it
+    """One row per spelling and reading, the fields of the reading packed in one text; ``middles`` is the middle initial as a bit, if it
     was written as one (two letters after a family name may be a short given name).
     """
     shipped = names.sparkSession.sparkContext.broadcast(common)
@@ -221,13 +222,20 @@ def parse(names: DataFrame, common: frozenset[str]) -> DataFrame:
                     for n, (kind, family, accented, given, middle, written) in enumerate(found):
                         bit = middle_bit(middle) if kind in "fpwi" else 0
                         letters = middle if kind in "oa" else str(bit) if kind == "i" and bit != NO_MIDDLE else ""
-                        rows.append((name, weight, cls, kind, family, accented if family != accented else None, given, letters, given_names.rewritings(kind, given), given not in given_names.known, (1 << (bit if written else NO_MIDDLE)) if kind in "fpwi" else 0, n == 0, len(found) > 1))
+                        reading = (kind, family, accented, given, letters, "" if given in given_names.known else "1", given_names.rewritings(kind, given))
+                        rows.append((name, weight, cls, _PART.join(reading), (1 << (bit if written else NO_MIDDLE)) if kind in "fpwi" else 0, n == 0, len(found) > 1))
             values = list(zip(*rows, strict=True)) or [()] * len(columns)
             yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(values, columns, strict=True)], names=[c for c, _ in columns])
 
     return names.select("name", "weight").mapInArrow(run, _PARSED)
 
 
+def _field(name: str) -> Column:
+    """A field of a packed reading."""
+    value = F.split("reading", _PART)[_READING.index(name)]
+    return value == "1" if name == "free" else value
+
+
 def _key(*parts: Column | str) -> Column:
     """48 bits of a hash: what meets by chance is told apart by the score, and the zero bytes compress away."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 16)
@@ -333,13 +341,13 @@ def _less_one(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))))
 
 
-def _forms(live: DataFrame, *entries: tuple[Column, Column]) -> Column:
+def _forms(*entries: tuple[Column, Column]) -> Column:
     """One array of all entries whose condition holds; an entry is an array of structs."""
-    return F.flatten(F.array(*[F.when(test, found).otherwise(F.array().cast("array<struct<key:bigint,rank:int,tag:string>>")) for test, found in entries]))
+    return F.flatten(F.array(*[F.when(test, found).otherwise(F.array().cast("array<struct<key:bigint,rank:int>>")) for test, found in entries]))
 
 
-def _entry(key: Column, rank: int | Column = 0, tag: Column | None = None) -> Column:
-    return F.struct(key.alias("key"), (F.lit(rank) if isinstance(rank, int) else rank).cast("int").alias("rank"), (F.lit("") if tag is None else tag).alias("tag"))
+def _entry(key: Column, rank: int | Column = 0) -> Column:
+    return F.struct(key.alias("key"), (F.lit(rank) if isinstance(rank, int) else rank).cast("int").alias("rank"))
 
 
 #: What is more frequent, the family first; the last one breaks ties.
@@ -348,52 +356,47 @@ _ORDER = ("pull", "degree", "support", "node")
 
 def _targets(live: DataFrame) -> DataFrame:
     """One row per form of full names: the most frequent, known given names first, and the ends of the range of names under the form."""
-    c, fam, acc = F.col, F.col("fam"), F.xxhash64(F.coalesce("accented", "family"))
+    c, fam, acc = F.col, F.col("fam"), F.xxhash64("accented")
     person, organisation = c("kind").isin("f", "p"), c("kind") == "o"
     first = F.substring("given", 1, 1)
     bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.getbit(F.col("middles"), b) == 1)
+    sought = person & (c("initials") | (c("degree") > 0))
     forms = _forms(
-        live,
-        (person, F.array(_entry(_key(F.lit("g"), fam, "given")), _entry(_key(F.lit("i"), fam, first, F.lit(""))))),
-        (person, F.transform(bits, lambda b: _entry(_key(F.lit("i"), fam, first, b.cast("string"))))),
-        (person & c("accents"), F.array(_entry(_key(F.lit("G"), acc, "given")), _entry(_key(F.lit("I"), acc, first, F.lit(""))))),
-        (person & c("accents"), F.transform(bits, lambda b: _entry(_key(F.lit("I"), acc, first, b.cast("string"))))),
+        (person, F.array(_entry(_key(F.lit("g"), fam, "given")))),
+        (sought, F.array(_entry(_key(F.lit("i"), fam, first, F.lit(""))))),
+        (sought, F.transform(bits, lambda b: _entry(_key(F.lit("i"), fam, first, b.cast("string"))))),
+        (person & c("accents"), F.array(_entry(_key(F.lit("G"), acc, "given")))),
+        (sought & c("accents"), F.array(_entry(_key(F.lit("I"), acc, first, F.lit(""))))),
+        (sought & c("accents"), F.transform(bits, lambda b: _entry(_key(F.lit("I"), acc, first, b.cast("string"))))),
         (person & c("free") & (F.length("given") > 2), F.transform(F.sequence(F.lit(2), F.length("given") - 1), lambda n: _entry(_key(F.lit("x"), fam, F.substring(c("given"), F.lit(1), n))))),
-        (person & c("free") & c("unknown") & (F.length("given") > 1), F.transform(_less_one(c("given")), lambda x: _entry(_key(F.lit("d"), fam, x), 0, c("given")))),
         (organisation, F.array(_entry(_key(F.lit("o"), fam, "given")), _entry(_key(F.lit("a"), fam, "letters")))),
         (organisation & c("accents"), F.array(_entry(_key(F.lit("O"), acc, "given")), _entry(_key(F.lit("A"), acc, "letters")))),
-        (organisation & c("organisations"), F.transform(_less_one(c("given")), lambda x: _entry(_key(F.lit("e"), fam, x), 0, c("given")))),
     )
-    rows = live.where(person | organisation).select(F.explode(forms).alias("f"), (c("kind") == "f").alias("sure"), *_ORDER, F.concat_ws("|", "family", "given").alias("whose"))
-    top = F.max(F.struct("sure", *_ORDER, "whose"))
-    return rows.groupBy("f.key", "f.tag").agg(top.alias("v"), F.min("whose").alias("a"), F.max("whose").alias("b")).drop("tag")
+    rows = live.where(person | organisation).select(F.explode(forms).alias("f"), F.struct((c("kind") == "f").alias("sure"), *_ORDER).alias("v"), F.concat_ws("|", "family", "given").alias("whose"))
+    return rows.groupBy("f.key").agg(F.max("v").alias("v"), F.min("whose").alias("a"), F.max("whose").alias("b"))
 
 
 def _probes(live: DataFrame, near: DataFrame) -> DataFrame:
     """The forms under which every reading is looked up, with the rank of the rewriting."""
-    c, fam, acc = F.col, F.col("fam"), F.xxhash64(F.coalesce("accented", "family"))
+    c, fam, acc = F.col, F.col("fam"), F.xxhash64("accented")
     person, organisation = c("kind").isin("f", "p", "w"), c("kind") == "o"
     others = F.filter(F.split("others", " "), lambda x: x != "")
     rank, name = lambda x: F.substring_index(x, ":", 1).cast("int"), lambda x: F.substring_index(x, ":", -1)
     middles = F.when(c("letters") == "", F.array(F.lit(""))).otherwise(F.array("letters", F.lit(str(NO_MIDDLE))))
     own = _forms(
-        live,
-        (person & (c("kind") != "f"), F.array(_entry(_key(F.lit("g"), fam, "given"), 60))),
-        (person & c("accents"), F.array(_entry(_key(F.lit("g"), fam, "given"), 60), _entry(_key(F.lit("G"), acc, "given"), 61))),
+        (person & ((c("kind") != "f") | c("accents")), F.array(_entry(_key(F.lit("g"), fam, "given"), 60))),
+        (person & c("accents"), F.array(_entry(_key(F.lit("G"), acc, "given"), 61))),
         (person, F.transform(others, lambda x: _entry(_key(F.lit("g"), fam, name(x)), rank(x)))),
         (person & c("accents"), F.transform(others, lambda x: _entry(_key(F.lit("G"), acc, name(x)), rank(x) + 1))),
-        (person & (F.length("given") > 1), F.array(_entry(_key(F.lit("x"), fam, "given"), 40))),
-        (c("kind").isin("p", "w") & c("unknown") & (F.length("given") > 2), F.transform(_less_one(c("given")), lambda x: _entry(_key(F.lit("d"), fam, x), 50))),
+        (person & c("open") & (F.length("given") > 1), F.array(_entry(_key(F.lit("x"), fam, "given"), 40))),
         (c("kind") == "i", F.transform(middles, lambda m: _entry(_key(F.lit("i"), fam, "given", m), 30))),
         ((c("kind") == "i") & c("accents"), F.transform(middles, lambda m: _entry(_key(F.lit("I"), acc, "given", m), 31))),
         (organisation & c("accents"), F.array(_entry(_key(F.lit("o"), fam, "given"), 60), _entry(_key(F.lit("O"), acc, "given"), 61))),
-        (organisation & c("organisations"), F.transform(_less_one(c("given")), lambda x: _entry(_key(F.lit("e"), fam, x), 45))),
         (c("kind") == "a", F.array(_entry(_key(F.lit("a"), fam, "letters"), 35))),
         ((c("kind") == "a") & c("accents"), F.array(_entry(_key(F.lit("A"), acc, "letters"), 36))),
     )
     to = F.col("near")
     off = _forms(
-        live,
         (person, F.array(_entry(_key(F.lit("g"), to, "given"), 20))),
         (person, F.transform(F.filter(others, lambda x: rank(x) != 50), lambda x: _entry(_key(F.lit("g"), to, name(x)), F.when(rank(x) == 55, 13).otherwise(12)))),
         (person & (F.length("given") > 1), F.array(_entry(_key(F.lit("x"), to, "given"), 12))),
@@ -401,30 +404,43 @@ def _probes(live: DataFrame, near: DataFrame) -> DataFrame:
         (organisation, F.array(_entry(_key(F.lit("o"), to, "given"), 25))),
         (c("kind") == "a", F.array(_entry(_key(F.lit("a"), to, "letters"), 15))),
     )
-    kept = [F.struct(*_ORDER).alias("u"), c("kind").alias("u_kind"), c("family").alias("u_family"), c("given").alias("u_given")]
-    beside = live.where(F.length("family") > 3).join(near, "fam").select(F.explode(off).alias("f"), *kept)
-    return live.select(F.explode(own).alias("f"), *kept).unionByName(beside).select("f.key", "f.rank", "u", "u_kind", "u_family", "u_given")
+    kept = [F.struct(*_ORDER).alias("u"), c("kind").alias("u_kind")]
+    beside = live.where((c("degree") > 0) & (F.length("family") > 3)).join(near, "fam").select(F.explode(off).alias("f"), *kept, c("family").alias("u_family"))
+    return live.select(F.explode(own).alias("f"), *kept, F.lit(None).cast("string").alias("u_family")).unionByName(beside).select("f.key", "f.rank", "u", "u_kind", "u_family")
+
+
+def _mistyped(live: DataFrame) -> DataFrame:
+    """What meets under a form with one letter less of the given name, or of the other words of an organisation: probe and target.
+
+    Only where a family has several of them; names under one form are bounded by the alphabet, and by accents.
+    """
+    c = F.col
+    person, organisation = c("kind").isin("f", "p", "w") & c("free") & c("unknown"), (c("kind") == "o") & c("organisations")
+    some = live.where((person | organisation) & (F.length("given") > 1))
+    rows = some.select(F.explode(_less_one(c("given"))).alias("form"), "fam", "kind", "given", "family", F.struct((c("kind") == "f").alias("sure"), *_ORDER).alias("v"))
+    rows = rows.select(_key(F.when(c("kind") == "o", "o").otherwise("p"), "fam", "form").alias("key"), "kind", "given", "v", F.concat_ws("|", "family", "given").alias("whose"))
+    u = rows.where("kind in ('p', 'w', 'o') and length(given) > 2").select("key", F.struct(*[f"v.{x}" for x in _ORDER]).alias("u"), c("kind").alias("u_kind"), c("given").alias("u_given"))
+    v = rows.where("kind <> 'w'").select("key", "v", "given", c("whose").alias("a"), c("whose").alias("b"))
+    met = u.join(v, "key").where(_one_off(c("u_given"), c("given")))
+    return met.select("key", F.when(c("u_kind") == "o", 45).otherwise(50).alias("rank"), "u", "u_kind", F.lit(None).cast("string").alias("u_family"), "v", "a", "b")
 
 
 def _edges(live: DataFrame, near: DataFrame, typical: float) -> DataFrame:
     """``u, kind, score, v, a, b``: what every reading meets, kept if the rewriting holds."""
-    met = _probes(live, near).join(_targets(live), "key").where("u.node <> v.node")
+    met = _probes(live, near).join(_targets(live), "key").unionByName(_mistyped(live)).where("u.node <> v.node")
     c, rank = F.col, F.col("rank")
-    v_family, v_given = F.substring_index("v.whose", "|", 1), F.substring_index("v.whose", "|", -1)
     smaller = c("u") < F.struct(*[f"v.{x}" for x in _ORDER])
     grows = (c("v.sure") & (c("u_kind") != "f")) | smaller
     apart = (F.least("u.support", "v.support") >= F.lit(FREQUENT * typical)) & (c("u.support") >= MAJOR_SHARE * c("v.support"))
     holds = (
         F.when(rank.isin(60, 61), ~apart & F.when(c("u_kind") == "o", smaller).otherwise(grows))
-        .when(rank.isin(50, 51), ~apart & grows & _one_off(c("u_given"), v_given))
-        .when(rank == 45, ~apart & smaller & _one_off(c("u_given"), v_given))
-        .when(rank.isin(40, 41), ~apart & grows)
-        .when(rank.isin(20, 25), ~apart & smaller)
+        .when(rank.isin(40, 41, 50, 51), ~apart & grows)
+        .when(rank.isin(20, 25, 45), ~apart & smaller)
         .when(rank == 12, ~apart)
         .otherwise(True)
     )
-    beside = (rank < 30) & ~_one_off(c("u_family"), v_family)
-    return met.where(holds & ~beside).select(c("u.node").alias("u"), c("u_kind").alias("kind"), rank.alias("score"), F.struct(*[f"v.{x}" for x in _ORDER]).alias("v"), "a", "b")
+    far = (rank < 30) & ~_one_off(c("u_family"), F.substring_index("a", "|", 1))  # all names under a form have one family
+    return met.where(holds & ~far).select(c("u.node").alias("u"), c("u_kind").alias("kind"), rank.alias("score"), F.struct(*[f"v.{x}" for x in _ORDER]).alias("v"), "a", "b")
 
 
 def rooted(parents: DataFrame) -> DataFrame:
@@ -461,30 +477,35 @@ def link_variants(names: DataFrame, paired_only: bool = False) -> DataFrame:
     which several occur is parted by them at the end, and spellings without one then are an entity of their own.
     """
     typical = typical_weight(names)
-    parsed = parse(names, common_words(names)).withColumn("cls", F.xxhash64("cls"))
-    parsed = materialise(parsed.withColumn("node", F.xxhash64("kind", F.coalesce("accented", "family"), "given", "letters")))
-    traits = ["node", "kind", "family", "accented", "given", "letters", "others", "free"]
-    nodes = parsed.groupBy(*traits).agg(F.sum("weight").alias("support"), F.bit_or("middles").alias("middles"), (F.min("cls") != F.max("cls")).alias("multi"))
-    nodes = materialise(nodes.withColumn("fam", _key("family")))
-    accent = F.xxhash64(F.coalesce("accented", "family"))
-    heads = nodes.where((F.col("kind") != "m") & (F.length("family") > 1)).groupBy("fam", "family").agg(
-        (F.min("node") != F.max("node")).alias("several"), (F.min(accent) != F.max(accent)).alias("accents"), (F.count_if(F.col("kind") == "o") > 1).alias("organisations"), (F.count_if(F.col("kind").isin("p", "w") | F.col("free")) > 1).alias("unknown"), F.sum("support").alias("pull")
-    )
-    heads = materialise(heads)
+    parsed = parse(names, common_words(names)).withColumn("cls", F.shiftrightunsigned(F.xxhash64("cls"), 16))
+    parsed = materialise(parsed.withColumn("node", F.xxhash64("reading")))
+    nodes = parsed.groupBy("reading").agg(F.sum("weight").alias("support"), F.bit_or("middles").alias("middles"), F.min("cls").alias("_a"), F.max("cls").alias("_b"))
+    nodes = materialise(nodes.select("reading", "support", "middles", (F.col("_a") != F.col("_b")).alias("multi"), _key(_field("family")).alias("fam")))
+    fields = nodes.select(*[_field(x).alias(x) for x in ("kind", "family", "accented", "free")], "support").where("kind <> 'm' and length(family) > 1")
+    accent = F.when(F.col("accented") == F.col("family"), 0).otherwise(F.hash("accented"))
+    person = F.col("kind").isin("f", "p", "w")
+    heads = fields.groupBy("family").agg(
+        F.count("*").alias("nodes"), (F.min(accent) != F.max(accent)).alias("accents"), F.max(F.col("kind") == "i").alias("initials"), (F.count_if(F.col("kind") == "o") > 1).alias("organisations"),
+        F.max(person & F.col("free")).alias("open"), (F.count_if(person & F.col("free")) > 1).alias("unknown"), F.sum("support").alias("pull"),
+    )
+    heads = materialise(heads.withColumn("fam", _key("family")))
     near = materialise(near_families(heads, max(names.sparkSession.sparkContext.defaultParallelism, math.ceil(heads.count() / SHARD))))
     # Of two families of one letter's difference the one with more rows is right, else the one with more such neighbours.
     marked = heads.drop("family").withColumn("degree", F.lit(0)).unionByName(near.groupBy("fam").agg(F.count("*").cast("int").alias("degree")), allowMissingColumns=True)
-    marked = marked.groupBy("fam").agg(*[F.max(x).alias(x) for x in ("several", "accents", "organisations", "unknown", "pull", "degree")])
-    live = materialise(nodes.join(marked.where("several or degree > 0").drop("several"), "fam"))
+    marked = marked.groupBy("fam").agg(*[F.max(x).alias(x) for x in ("nodes", "accents", "initials", "organisations", "open", "unknown", "pull", "degree")])
+    live = nodes.drop("multi").join(marked.where("nodes > 1 or degree > 0").drop("nodes"), "fam")
+    live = materialise(live.withColumn("node", F.xxhash64("reading")).withColumns({x: _field(x) for x in _READING}).where("kind <> 'm'").drop("reading"))
     edges = _edges(live, near, typical).repartition("u")
     best = edges.groupBy("u", "kind", "score").agg(F.max("v")["node"].alias("v"), F.min("a").alias("a"), F.max("b").alias("b"))
     best = best.groupBy("u").agg(F.max(F.struct("score", "kind", "v", "a", "b")).alias("t")).select("u", "t.*")
     parents = materialise(best.where("a = b or startswith(b, a) or levenshtein(a, b, 2) between 0 and 2 or (kind <> 'i' and score >= 20 and score not between 40 and 41)").select("u", "v", "score"))
+    release(heads, near)
     parents = rooted(parents)
     # Only nodes that can be linked, or have several classes, can have pairs.
-    linkable = nodes.where("multi").select("node", "middles").unionByName(live.select("node", "middles")).distinct()
+    linkable = nodes.where("multi").select(F.xxhash64("reading").alias("node"), "middles").unionByName(live.select("node", "middles")).distinct()
     members = linkable.join(parents.withColumnRenamed("u", "node"), "node", "left").select("node", "middles", "score", F.coalesce("v", "node").alias("root"))
     members = materialise(members)
+    release(nodes, live, parents)
     roots = members.groupBy("root").agg(F.bit_or("middles").alias("all"))
     members = members.join(roots, "root").select("node", "root", "score", (F.bit_count(F.col("all").bitwiseAND(F.lit(~(1 << NO_MIDDLE)))) > 1).alias("parted"))
     chosen = parsed.select("name", "cls", "node", "middles", "first", "several").join(members, "node", "inner" if paired_only else "left")
