@@ -2,9 +2,10 @@
 
 Online rule: of all fill levels into which a text fits (an empty container among them), take the one after
 which the sum of the squared numbers of open containers per level is least. The state is one array with a
-count per level. Texts come in the order of a hash of their id, in shards that are packed independently;
-the number of shards follows the number of texts. When a shard ends, the containers that are still far from full are
-repacked, largest piece first.
+count per level. Texts are dealt to shards by a hash of their id, the number of shards following the number of texts, and
+shards are packed independently. Within a shard they arrive largest first, so the small ones that come last fill
+what the large ones left; among equal sizes by the hash. As an option, off by default, containers that are still
+far from full when a shard ends are repacked best fit.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkroll.llm.tokens import VOCABULARY, with_tokens
+from inkroll.llm.tokens import VOCABULARY, with_copies, with_tokens
 from inkroll.session import materialise, spread
 from inkroll.sources.tables import table
 
 #: Texts per shard and capacity: what one task packs and holds in memory, ids and sizes only.
 SHARD = 50_000
-#: Containers filled less than this when the stream ends are repacked.
+#: With `repack`, containers filled less than this when a shard ends are repacked.
 CLOSE_BELOW = 0.98
 
 
@@ -95,13 +96,13 @@ def close(sizes: np.ndarray, boxes: np.ndarray, fills: np.ndarray, capacity: int
     return out, np.array([*fills[kept], *(capacity - r for r in rooms)], np.int64)
 
 
-def pack(sized: DataFrame, key: str, tokens: str, capacities: list[tuple[int, int]]) -> DataFrame:
+def pack(sized: DataFrame, key: str, tokens: str, capacities: list[tuple[int, int]], repack: bool = False) -> DataFrame:
     """A container for every text and capacity: ``pack_id, capacity_tokens, container, <key>, piece, from_token, piece_tokens``.
 
     A text larger than the capacity is split into full pieces, each a container of its own, and a rest that
     is packed like a text; no other text is split. Empty and null texts (0 tokens) get one piece of size 0.
-    Repeated rows are packed as often as they occur. ``capacities`` is the small configuration table
-    (id, tokens); each must be positive. One shuffle of ids and sizes.
+    Repeated rows are packed as often as they occur, and rows of one id are spread over the shards. ``capacities`` is the small
+    configuration table (id, tokens); each must be positive. Two shuffles of ids and sizes.
     """
     if any(c < 1 for _, c in capacities):
         raise ValueError("capacities must be positive")
@@ -110,7 +111,7 @@ def pack(sized: DataFrame, key: str, tokens: str, capacities: list[tuple[int, in
         return sized.sparkSession.createDataFrame([], out)
     shards = max(1, math.ceil(sized.count() / SHARD))
     boxes = F.array(*[F.struct(F.lit(p).cast("int").alias("pack_id"), F.lit(c).cast("int").alias("capacity_tokens")) for p, c in capacities])
-    every = sized.select(key, F.col(tokens).alias("_n"), F.explode(boxes).alias("_b")).select(key, "_n", "_b.*")
+    every = with_copies(sized.select(key, F.col(tokens).alias("_n")), key).select(key, "_n", "_copy", F.explode(boxes).alias("_b")).select(key, "_n", "_copy", "_b.*")
     full = every.where("_n > capacity_tokens").withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / F.col("capacity_tokens")).cast("int") - 1)))
     full = full.select(
         "pack_id", "capacity_tokens", F.concat(F.lit("f"), F.hex(F.xxhash64(F.col(key), F.col("pack_id"))), F.lit("-"), F.monotonically_increasing_id().cast("string")).alias("container"), key, "piece",
@@ -118,12 +119,13 @@ def pack(sized: DataFrame, key: str, tokens: str, capacities: list[tuple[int, in
     )
     over = F.col("_n") > F.col("capacity_tokens")
     rest = every.withColumn("piece", F.when(over, F.floor(F.col("_n") / F.col("capacity_tokens"))).otherwise(0).cast("int")).withColumn("_size", F.when(over, F.col("_n") % F.col("capacity_tokens")).otherwise(F.col("_n")))
-    rest = rest.where(~over | (F.col("_size") > 0)).withColumn("_o", F.xxhash64(F.lit(7), F.col(key))).withColumn("_shard", F.pmod(F.col("_o"), F.lit(shards)).cast("int"))
+    rest = rest.where(~over | (F.col("_size") > 0)).withColumn("_o", F.xxhash64(F.lit(7), F.col(key), F.col("_copy"))).withColumn("_shard", F.pmod(F.col("_o"), F.lit(shards)).cast("int"))
 
     def run(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_o", "_size"], kind="stable")
+        frame = frame.sort_values(["_size", "_o"], ascending=[False, True], kind="stable")
         capacity, sizes = int(frame["capacity_tokens"].iloc[0]), frame["_size"].to_numpy(np.int64)
-        placed, _ = close(sizes, *pack_online(sizes, capacity), capacity)
+        placed, fills = pack_online(sizes, capacity)
+        placed = close(sizes, placed, fills, capacity)[0] if repack else placed
         frame["container"] = [f"s{group[1]}-{b}" for b in placed]
         frame["from_token"], frame["piece_tokens"] = frame["piece"].astype("int64") * capacity, sizes
         return frame[["pack_id", "capacity_tokens", "container", key, "piece", "from_token", "piece_tokens"]]

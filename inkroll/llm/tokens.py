@@ -6,14 +6,18 @@ import base64
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Where the vocabulary lies; a parameter of every operator that counts tokens.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published split pattern of this byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer texts are encoded piece by piece at line ends or blanks, to keep memory and time linear.
+#: Longer texts are encoded piece by piece, to keep memory linear.
 CHUNK = 100_000
+# Fixed value: after a letter and before a blank and a letter the pattern always ends a piece, so a cut there changes no token.
+_CUT = regex.compile(r"(?<=\p{L})(?= \p{L})")
 _loaded: dict[str, object] = {}
 
 
@@ -34,15 +38,22 @@ def token_count(text: str | None, vocabulary: str = VOCABULARY) -> int:
         return 0
     encoder, total, at = tokenizer(vocabulary), 0, 0
     while at < len(text):
-        end = min(at + CHUNK, len(text))
-        if end < len(text):
-            cut = max(text.rfind("\n", at, end), text.rfind(" ", at, end))
-            end = cut if cut > at else end
+        cut = _CUT.search(text, at + CHUNK) if len(text) - at > CHUNK else None
+        end = cut.start() if cut else len(text)
         total += len(encoder.encode_ordinary(text[at:end]))
         at = end
     return total
 
 
+def with_copies(df: DataFrame, key: str) -> DataFrame:
+    """Add ``_copy``: 0 where a key occurs once, else a number of the row, by which the rows of a hot key are spread.
+
+    One shuffle of what is given, so it should hold ids and sizes only; keys are counted before it.
+    """
+    many = df.groupBy(F.col(key).alias("_many")).agg(F.count("*").alias("_n")).where("_n > 1").select("_many", F.lit(True).alias("_is"))
+    return df.join(many, F.col(key).eqNullSafe(F.col("_many")), "left").withColumn("_copy", F.when(F.col("_is"), F.monotonically_increasing_id()).otherwise(F.lit(0))).drop("_many", "_is")
+
+
 def with_tokens(df: DataFrame, text: str, into: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:
     """Replace ``text`` by its size in tokens; all other columns and all rows are kept. No shuffle."""
     keep = [c for c in df.columns if c not in (text, into)]
