@@ -4,7 +4,9 @@ Every chain "encode as A, decode as B" (once or twice) that is possible for a na
 A smoothed character n-gram model, trained on the clean names of the whole table, scores the name as it
 stands and every reading; the likeliest reading is accepted if it beats the name by a margin. A part of the
 names, chosen by a hash, is left out of the training; the margin is validated on all of these, as they are
-and garbled by the same chains, in one distributed pass.
+and garbled by the same chains, in one distributed pass. Text that lost characters has no reading; it is told by the
+model, too: by how unlikely its least likely sign is among clean names, against a bound validated on the same
+names with characters replaced.
 
 The name as it stands is scored in its look-alike canonical form, so unusual but intended characters
 (full-width letters, invisible characters) do not speak for a reading.
@@ -17,7 +19,7 @@ import math
 import re
 import unicodedata
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -124,6 +126,7 @@ class CharModel:
     kind_pairs: Counter = field(default_factory=Counter)
     kinds: Counter = field(default_factory=Counter)
     cache: dict[str, float] = field(default_factory=dict)
+    lost: float = 12.0
 
     def __post_init__(self) -> None:
         for pair, n in self.pairs.items():
@@ -152,6 +155,10 @@ class CharModel:
             self.cache[pair] = value
         return value
 
+    def surprise(self, of: str) -> float:
+        """Negative log probability of a class of characters."""
+        return -math.log((self.kinds.get(of, 0) + 0.05) / (self.kinds.total() + 0.05 * 30))
+
     def score(self, text: str) -> float:
         """Log probability of a text between two blanks."""
         text = f" {text} "
@@ -186,17 +193,20 @@ def best_reading(text: str, model: CharModel) -> tuple[str, str, float] | None:
     return new, chain, score - own
 
 
-def broken(text: str) -> bool:
-    """Signs of a wrong decoding that no chain can undo: replacement or control characters, symbols in words."""
+def signs(text: str) -> Iterator[str]:
+    """Characters that may be left of a wrong decoding: symbols, controls, and quotes and marks inside words."""
     for i, c in enumerate(text):
         if c.isascii() or c in "‘’":
             continue
-        if c == _LOST or 0x80 <= ord(c) < 0xA0:
-            return True
         category = unicodedata.category(c)
-        if category in ("So", "Sm", "Sc", "No") or (category in ("Sk", "Pi", "Pf", "Ps") and i and text[i - 1].isalpha()):
-            return unicodedata.normalize("NFKC", c) == c or not unicodedata.normalize("NFKC", c).isalnum()
-    return False
+        if category in ("So", "Sm", "Sc", "No", "Cc") or (category in ("Sk", "Pi", "Pf", "Ps") and i and text[i - 1].isalpha()):
+            if c == _LOST or not unicodedata.normalize("NFKC", c).isalnum():
+                yield c
+
+
+def strangeness(text: str, model: CharModel) -> float:
+    """How unlikely the least likely sign is among the characters of clean names, as a negative log probability; 0 without signs."""
+    return max((model.surprise(kind(c)) for c in signs(text)), default=0.0)
 
 
 def _words(text: str) -> list[str]:
@@ -219,13 +229,13 @@ def restore(item: str, model: CharModel, margin: float) -> tuple[bool, str | Non
                 chains.append(found[1])
         if chains:
             text = "".join(words)
-            return True, None if broken(text) else text, chains[0]
-    return broken(item), None, None
+            return True, None if strangeness(text, model) > model.lost else text, chains[0]
+    return strangeness(item, model) > model.lost, None, None
 
 
 def _plain(name: str) -> bool:
     """Clean enough to learn from: no other reading, no sign of damage, no unusual characters."""
-    return name.isascii() or not (_FOREIGN_RUN.search(name) or readings_possible(name) or broken(name) or _MIXED.search(name) or unicodedata.normalize("NFKC", name) != name or any(unicodedata.category(c) in ("Cf", "Zs", "Mn") for c in name if not c.isascii()))
+    return name.isascii() or not (_FOREIGN_RUN.search(name) or readings_possible(name) or any(signs(name)) or _MIXED.search(name) or unicodedata.normalize("NFKC", name) != name or any(unicodedata.category(c) in ("Cf", "Zs", "Mn") for c in name if not c.isascii()))
 
 
 def readings_possible(name: str) -> bool:
@@ -245,19 +255,27 @@ def count(records: DataFrame, authors: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        pairs: Counter[str] = Counter()
+        held: Counter[str] = Counter()
         for batch in batches:
+            names: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 if text:
-                    for name, _ in split_field(text, PLAIN_BLANKS):
-                        if not _plain(name):
-                            continue
-                        if held_out(name):
-                            counts[True, name] += 1
-                        else:
-                            padded = f" {name} "
-                            counts.update((False, a + b) for a, b in zip(padded, padded[1:], strict=False))
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in counts], pa.bool_()), pa.array([x for _, x in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["held", "text", "n"])
+                    names.update(name for name, _ in split_field(text, PLAIN_BLANKS))
+            clean = {name: n for name, n in names.items() if _plain(name)}
+            often: dict[int, list[str]] = defaultdict(list)  # names that occur equally often are counted together
+            for name, n in clean.items():
+                if not held_out(name):
+                    often[n].append(name)
+            for n, some in often.items():
+                padded = "".join(f" {name} " for name in some)
+                own = Counter(map("".join, zip(padded, padded[1:], strict=False)))
+                own["  "] -= max(0, len(some) - 1)  # the seams, but for names that hold such a pair
+                for pair, k in own.items():
+                    pairs[pair] += k * n
+            held.update({name: n for name, n in clean.items() if held_out(name)})
+        pairs = +pairs
+        yield pa.RecordBatch.from_arrays([pa.array([False] * len(pairs) + [True] * len(held), pa.bool_()), pa.array([*pairs, *held], pa.string()), pa.array([*pairs.values(), *held.values()], pa.int64())], names=["held", "text", "n"])
 
     found = records.select(authors).where(F.col(authors).isNotNull()).mapInArrow(run, "held boolean, text string, n long")
     return materialise(found.groupBy("held", "text").agg(F.sum("n").alias("n")))
@@ -288,11 +306,22 @@ def leads(name: str, model: CharModel) -> Iterator[tuple[bool, int]]:
 
     0 if none leads; a garbled name has a lead only if its likeliest reading is the name.
     """
-    steps = lambda lead: max(0, math.ceil(lead / STEP))
-    yield False, max(steps(found[2]) if not x.isascii() and (found := best_reading(x, model)) else 0 for x in [name, *_words(name)])
+    yield False, max(_steps(found[2]) if not x.isascii() and (found := best_reading(x, model)) else 0 for x in [name, *_words(name)])
     for text in _spoilt(name):
         found = best_reading(text, model)
-        yield True, steps(found[2]) if found and found[0] == name else 0
+        yield True, _steps(found[2]) if found and found[0] == name else 0
+
+
+def _steps(lead: float) -> int:
+    return max(0, math.ceil(lead / STEP))
+
+
+def losses(name: str, model: CharModel) -> Iterator[tuple[bool, int]]:
+    """Whether characters were lost, and the strangeness in steps: of a clean name, and of it read as ASCII and as UTF-8 after each single-byte encoding."""
+    yield False, _steps(strangeness(name, model))
+    for text in {name.encode().decode("ascii", "replace"), *(name.encode(x, "ignore").decode("utf-8", "replace") for x in ("latin-1", "cp1250", "cp1251", "koi8_r"))}:
+        if _LOST in text:
+            yield True, _steps(strangeness(text, model))
 
 
 def margin_from(tally: dict[tuple[bool, int], int]) -> float:
@@ -308,31 +337,49 @@ def margin_from(tally: dict[tuple[bool, int], int]) -> float:
     return STEP * min(range(least, max([least, *(lead for _, lead in tally)]) + 1), key=lambda m: (errors(m), m))
 
 
+def bound_from(tally: dict[tuple[bool, int], int]) -> float:
+    """The strangeness above which characters count as lost, with the fewest errors expected; the middle of equal ones."""
+    clean, lost = (max(1, sum(n for (bad, _), n in tally.items() if bad == kind)) for kind in (False, True))
+    errors = [(1 - EXPECTED) * sum(n for (bad, x), n in tally.items() if not bad and x > m) / clean + EXPECTED * sum(n for (bad, x), n in tally.items() if bad and x <= m) / lost for m in range(1 + max([1, *(x for _, x in tally)]))]
+    best = [m for m, e in enumerate(errors) if e == min(errors)]
+    return STEP * best[len(best) // 2] if tally else CharModel.lost
+
+
 def validated_margin(model: CharModel, clean: list[str]) -> float:
     """The margin for a model from names as they should be, which it was not trained on."""
     return margin_from(Counter(x for name in clean for x in leads(name, model)))
 
 
-def tally_leads(names: DataFrame, model: CharModel) -> dict[tuple[bool, int], int]:
-    """How often each of `leads` occurs over all ``text`` of ``names``; one row per lead reaches the driver."""
+def tallies(names: DataFrame, model: CharModel) -> tuple[dict[tuple[bool, int], int], dict[tuple[bool, int], int]]:
+    """How often each of `leads` and of `losses` occurs over all ``text`` of ``names``; one row per value reaches the driver."""
     shipped = names.sparkSession.sparkContext.broadcast(model.pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = CharModel(shipped.value), Counter()
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                counts.update(leads(name, own))
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in counts], pa.bool_()), pa.array([k for _, k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["bad", "lead", "n"])
+                counts.update((False, *x) for x in leads(name, own))
+                counts.update((True, *x) for x in losses(name, own))
+        columns = list(zip(*counts, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.bool_()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["lost", "bad", "lead", "n"])
 
-    found = spread(names.select("text")).mapInArrow(run, "bad boolean, lead long, n long")
-    return {(r.bad, r.lead): r.n for r in found.groupBy("bad", "lead").agg(F.sum("n").alias("n")).collect()}
+    found = spread(names.select("text")).mapInArrow(run, "lost boolean, bad boolean, lead long, n long")
+    rows = found.groupBy("lost", "bad", "lead").agg(F.sum("n").alias("n")).collect()
+    return tuple({(r.bad, r.lead): r.n for r in rows if r.lost == which} for which in (False, True))
+
+
+def tally_leads(names: DataFrame, model: CharModel) -> dict[tuple[bool, int], int]:
+    """The first of `tallies`."""
+    return tallies(names, model)[0]
 
 
 def fit(records: DataFrame, authors: str) -> tuple[CharModel, float]:
-    """Train on the clean names but for a hash-chosen part, and validate the margin on all of that part, clean and garbled."""
+    """Train on the clean names but for a hash-chosen part, and validate margin and bound on all of that part, clean and damaged."""
     counted = count(records, authors)
     model = trained(counted)
-    return model, margin_from(tally_leads(counted.where("held"), model))
+    chains, lost = tallies(counted.where("held"), model)
+    model.lost = bound_from(lost)
+    return model, margin_from(chains)
 
 
 def find_garbled(records: DataFrame, authors: str, model: CharModel, margin: float) -> DataFrame:
@@ -342,12 +389,12 @@ def find_garbled(records: DataFrame, authors: str, model: CharModel, margin: flo
     model goes to the executors as one broadcast, bounded by the alphabets. No shuffle.
     """
     keep = [c for c in records.columns if c not in (authors, "position", "item", "restored", "chain")]
-    shipped = records.sparkSession.sparkContext.broadcast((model.pairs, margin))
+    shipped = records.sparkSession.sparkContext.broadcast((model.pairs, margin, model.lost))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields if f.name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, least = shipped.value
-        own = CharModel(pairs)
+        pairs, least, lost = shipped.value
+        own = CharModel(pairs, lost=lost)
         for batch in batches:
             out = []
             for r, text in enumerate(batch.column(len(keep)).to_pylist()):
