@@ -16,8 +16,6 @@ CONNECTORS = "and at by da das de del della den der di dos du for in la le of on
 PARTICLES = "al bin da das de del della den der di dos du el ibn la le ten ter van von".split()
 # Words of collaborations and groups.
 COLLABORATION = "collaboration collaborations consortium experiment group project survey team working".split()
-# Name suffixes (the splitter separates them like any value).
-SUFFIXES = "ii iii iv jr md phd sr".split()
 
 # What counts as white space, 29 code points.
 WS = "[\\u0009-\\u000D\\u001C-\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"

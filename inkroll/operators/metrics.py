@@ -86,6 +86,11 @@ def running(df: DataFrame) -> DataFrame:
     )
 
 
+def baseline(df: DataFrame) -> DataFrame:
+    """Share of positives, the precision of accepting everything; null for an empty table."""
+    return df.agg(F.avg(F.col("y").cast("double")).alias("positive_rate"))
+
+
 def roc_auc(df: DataFrame) -> DataFrame:
     """Area under the ROC curve, ties counted half; null with one class only."""
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))

@@ -19,6 +19,7 @@ def _decide(label: str, score: float, reason: str) -> Column:
 def rule_decision(candidate: Column) -> Column:
     """The first rule that fits, over the feature columns: struct of label, score and reason."""
     f = F.col
+    # Scores and reasons.
     return (
         F.when(normalize_spaces(candidate) == "", _decide(NON_PERSON, 1.0, "empty"))
         .when((f("has_digit") + f("has_email") + f("has_url")) > 0, _decide(NON_PERSON, 0.99, "contains digit/email/url"))

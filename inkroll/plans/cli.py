@@ -6,12 +6,14 @@ import argparse
 import os
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import functions as F
 
 from inkroll.operators.thresholds import DEFAULT_PAIRS, parse_pairs
 from inkroll.plans import cleaning as P
-from inkroll.session import build_session, ship_package
+from inkroll.session import build_session, clear, ship_package
 from inkroll.sources.records import labelled_for_evaluation, labelled_for_training, read_csv, read_csv_if_exists
+from inkroll.sources.sinks import write_text
+
+NER_MODEL = "en_core_web_sm"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -24,8 +26,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--label-file")
     c.add_argument("--model-in")
     c.add_argument("--model-out", default="author_model")
-    c.add_argument("--export-uncertain", default="uncertain_candidates")
-    c.add_argument("--output-counts", default="author_counts")
+    c.add_argument("--export-uncertain")
+    c.add_argument("--output-counts")
     c.add_argument("--label-output", default="labelling_sheet")
     c.add_argument("--max-label-candidates", type=int, default=5000)
     c.add_argument("--person-threshold", type=float, default=0.90)
@@ -47,13 +49,15 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--start-record", type=int, default=0)
     s.add_argument("--threshold-pairs", default=DEFAULT_PAIRS)
     s.add_argument("--top-n", type=int, default=30)
+    s.add_argument("--use-spacy", action="store_true")
     s.add_argument("--save-all-candidate-scores", action="store_true")
     v = sub.add_parser("summarise")
     v.add_argument("--author-counts")
     v.add_argument("--uncertain")
     v.add_argument("--rejected")
     v.add_argument("--output-dir", default="summaries")
-    v.add_argument("--top-n", type=int, default=100)
+    v.add_argument("--top-n", type=int, default=30)
+    v.add_argument("--show", action="store_true")
     return top
 
 
@@ -75,7 +79,7 @@ def main(argv: list[str] | None = None) -> None:
             matrix.show()
             model.write().overwrite().save(args.model_out)
         else:
-            P.clean_and_count(spark, args.file, limit, args.model_in, args.person_threshold, args.nonperson_threshold, args.export_uncertain, args.output_counts, "en_core_web_sm" if args.use_spacy else None).show(30, False)
+            P.clean_and_count(spark, args.file, limit, args.model_in, args.person_threshold, args.nonperson_threshold, args.export_uncertain, args.output_counts, NER_MODEL if args.use_spacy else None, report=True).show(30, False)
     elif args.command == "evaluate":
         from inkroll.operators.aggregate import stratified_split
         from inkroll.operators.metrics import binary
@@ -87,17 +91,17 @@ def main(argv: list[str] | None = None) -> None:
         scored = score_candidates(rows, PipelineModel.load(args.model))
         P.evaluate(scored, args.output_dir, threshold=args.threshold)
         text = P.metrics_text(binary(scored, "label", "person_score"), args.threshold)
-        with open(os.path.join(args.output_dir, "metrics_report.txt"), "w", encoding="utf-8") as out:
-            out.write(text)
+        write_text(spark, text, os.path.join(args.output_dir, "metrics_report.txt"))
         print(text)
     elif args.command == "sensitivity":
-        P.threshold_sensitivity(spark, args.file, PipelineModel.load(args.model), args.output_dir, parse_pairs(args.threshold_pairs), args.start_record, args.max_records, args.save_all_candidate_scores, args.top_n).orderBy(F.desc("person_threshold")).show()
+        P.threshold_sensitivity(spark, args.file, PipelineModel.load(args.model), args.output_dir, parse_pairs(args.threshold_pairs), args.start_record, args.max_records, args.save_all_candidate_scores, args.top_n, NER_MODEL if args.use_spacy else None).show()
     else:
         tables = P.summaries(read_csv_if_exists(spark, args.author_counts), read_csv_if_exists(spark, args.uncertain), read_csv_if_exists(spark, args.rejected), args.top_n)
-        P.save_summaries(tables, args.output_dir)
+        P.save_summaries(tables, args.output_dir, args.show)
         for name, df in tables.items():
             print(name)
             df.show(args.top_n, False)
+    clear()
 
 
 if __name__ == "__main__":

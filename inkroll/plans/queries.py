@@ -13,7 +13,8 @@ from inkroll.operators.candidates import explode_candidates
 from inkroll.operators.features import FEATURES, with_features
 from inkroll.operators.histogram import equal_width
 from inkroll.operators.rules import classify_by_rules, classify_by_score, with_rules
-from inkroll.session import spread
+from inkroll.session import scratch, spread
+from inkroll.sources.records import record_slice, records
 from inkroll.sources.tables import table
 
 PAIRS = TH.parse_pairs(TH.DEFAULT_PAIRS)
@@ -303,6 +304,28 @@ def source_slice_valid(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_records").where("line_no >= 100 and authors is not null and authors <> ''").select("line_no", "id", "authors").orderBy("line_no").limit(1000)
 
 
+def _as_lines(spark: SparkSession, d: str) -> str:
+    """The raw records as JSON lines, in files whose names follow the order of the lines."""
+    path = scratch(spark)
+    fields = F.to_json(F.struct("id", "authors"), {"ignoreNullFields": "false"})
+    table(spark, d, "raw_records").orderBy("line_no").select(fields.alias("value")).write.text(path)
+    return path
+
+
+def jsonl_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The reader of JSON lines: the valid records among the first 50,000 lines."""
+    return records(spark, _as_lines(spark, d), 50_000)
+
+
+def jsonl_slice(spark: SparkSession, d: str) -> DataFrame:
+    """The reader of JSON lines: the first 1,000 valid records from line 100 on."""
+    return record_slice(spark, _as_lines(spark, d), 100, 1000)
+
+
+def baseline(spark: SparkSession, d: str) -> DataFrame:
+    return _round(M.baseline(scores(spark, d)))
+
+
 def char_ngrams(spark: SparkSession, d: str) -> DataFrame:
     from inkroll.operators.model import char_ngrams as grams
 
@@ -344,6 +367,6 @@ QUERIES = {
         decision_counts_nfkc, author_counts_nfkc, top_authors_nfkc, distinct_authors_nfkc, uncertain_rows_nfkc, labelling_sheet_nfkc, threshold_decisions, threshold_summary, bucket_groups,
         score_classification, uncertain_summary, uncertain_top, rejected_summary, reason_histogram, ner_distribution, decision_overview, count_describe, score_describe, score_frequency, candidate_frequency, score_histogram, count_histogram,
         threshold_histogram, histogram_by_class, confusion, confusion_norm, class_report, threshold_sweep, roc_auc, average_precision, roc_curve, pr_curve, calibration, class_counts, predictions, error_fp, error_fn, stratified_split,
-        source_slice_lines, source_slice_valid, char_ngrams, tfidf, train_predict, model_report,
+        source_slice_lines, source_slice_valid, jsonl_lines, jsonl_slice, baseline, char_ngrams, tfidf, train_predict, model_report,
     )
 }

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from inkroll.functions.vocab import COLLABORATION, CONNECTORS, ORG_KEYWORDS, ORG_PHRASES, PARTICLES
 from inkroll.operators import thresholds as TH
 
+# The word lists once more, so that a slip in one place shows.
+ORG_KEYWORDS = (
+    "academy administration agency association biology center centre centro chemistry clinic collaboration collaboratory college company consortium corporation department dept division engineering faculty foundation gmbh group "
+    "hospital inc institut institute institution lab laboratoire laboratories laboratory labs llc ltd mathematics medicine ministry observatory physics program programme project research sa school science sciences society srl team "
+    "unit universidad universitat university université zentrum"
+).split()
+ORG_PHRASES = [
+    "center for", "centre for", "cern", "cnrs", "department of", "faculty of", "institute of", "max planck", "nasa", "national laboratory", "research group", "school of", "the collaboration", "the consortium", "university of", "working group",
+]
+CONNECTORS = "and at by da das de del della den der di dos du for in la le of on ten ter the van von with".split()
+PARTICLES = "al bin da das de del della den der di dos du el ibn la le ten ter van von".split()
+COLLABORATION = "collaboration collaborations consortium experiment group project survey team working".split()
+
 PAIRS = TH.parse_pairs(TH.DEFAULT_PAIRS)
 WS = r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 TRIM = ".,;:()[]{}<>\"“”‘’"
@@ -209,6 +221,9 @@ select round(threshold, 8) threshold, round(p, 8) "precision", round(r, 8) recal
 select candidate, label, k <= floor(n * 0.2 + 0.5) is_test from x""",
     "source_slice_lines": "select line_no, id, authors from raw_records where line_no < 50000 and authors is not null",
     "source_slice_valid": "select line_no, id, authors from raw_records where line_no >= 100 and authors is not null and authors <> '' order by line_no limit 1000",
+    "jsonl_lines": "select line_no, id, authors from (select row_number() over (order by line_no) - 1 line_no, id, authors from raw_records) where line_no < 50000",
+    "jsonl_slice": "select line_no, id, authors from (select row_number() over (order by line_no) - 1 line_no, id, authors from raw_records) where line_no >= 100 order by line_no limit 1000",
+    "baseline": f"select round(avg(y), 8) positive_rate from ({SCORES})",
     "char_ngrams": f"with {GRAMS} select gram, count(*) count from g group by gram",
     "tfidf": f"with {GRAMS}, d as (select gram, count(distinct id) df from g group by gram having count(distinct id) >= 2) select gram, df, round(ln((1 + (select count(*) from w)) / (1.0 + df)) + 1, 8) idf from d",
 }

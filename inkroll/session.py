@@ -44,6 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
 _tables: dict[str, SparkSession] = {}
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, which `clear` deletes."""
+    path = f"{shared_folder(spark)}/inkroll-{uuid.uuid4().hex}"
+    _tables[path] = spark
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder, which survives the loss of executors.
 
@@ -52,9 +59,8 @@ def materialise(df: DataFrame) -> DataFrame:
     are deleted when the Python process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/inkroll-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    _tables[path] = spark
     made = spark.read.schema(df.schema).parquet(path)
     made._inkroll_table = path
     return made
