@@ -4,10 +4,11 @@ Canonical form: NFKC, letters of other scripts that look like Latin ones replace
 without visible shape dropped, blanks of any kind turned into plain ones, runs of blanks made one, ends
 stripped. Case, punctuation, order and visible accents are kept.
 
-A quick check decides per character whether it can change (`STABLE` lists the code points that cannot:
-printable ASCII, precomposed Latin letters, CJK ideographs and kana). Texts of stable characters only are
-passed through inside the JVM; in the others only the unstable segments, each with the stable character
-before it as boundary context, are normalised, and the results spliced between the unchanged rest.
+A quick check decides per character whether it can change: Unicode's quick-check property of the normal form (a
+character that is its own normal form), its combining class, and whether it can join the character before it; letters
+with look-alikes and characters without shape can change, too. Texts of stable characters only are passed
+through inside the JVM; in the others only the unstable segments, each with the stable character before it as
+boundary context, are normalised, and the results spliced between the unchanged rest.
 """
 
 from __future__ import annotations
@@ -24,18 +25,58 @@ from inkroll.operators.multivalue import split_values
 from inkroll.session import spread
 from inkroll.sources.tables import table
 
-# Letters of other scripts that look like Latin letters, and hyphens that look like "-".
-LOOKALIKES = {
-    **dict(zip("аеоурсхіјѕһԁԛԝкАВЕКМНОРСТХІЈЅУԚԜԌЗ", "aeoypcxijshdqwkABEKMHOPCTXIJSYQWG3", strict=True)),
-    **dict(zip("οανιρυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ", "oaviouk" "ABEZHIKMNOPTYXCj", strict=True)),
-    **dict(zip("ıɑɡ", "iag", strict=True)),
-    "ρ": "p", "υ": "u", "‐": "-", "‑": "-", "⁃": "-", "﹣": "-",
-}
-del LOOKALIKES["З"]
+# Letters of other scripts that look like Latin letters, by script, and hyphens that look like "-".
+CYRILLIC = ("аеоурсхіјѕһԁԛԝкАВЕКМНОРСТХІЈЅУԚԜԌ", "aeoypcxijshdqwkABEKMHOPCTXIJSYQWG")
+GREEK = ("οανιρυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ", "oavipukABEZHIKMNOPTYXCj")
+LATIN = ("ıɑɡ", "iag")
+ARMENIAN = ("օոսհցզյՕՍՏԼ", "onuhgqjOUSL")
+CHEROKEE = ("ᎪᏴᏟᎠᎬᏀᎻᎥᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃᎡᏒ", "ABCDEGHiJKLMPSTVWZRR")
+COPTIC = ("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥⲭ", "ABEHIKMNOPCTYXopcx")
+HYPHENS = ("‐‑⁃﹣", "----")
+LOOKALIKES = {a: b for other, own in (CYRILLIC, GREEK, LATIN, ARMENIAN, CHEROKEE, COPTIC, HYPHENS) for a, b in zip(other, own, strict=True)}
 # Letters without ink or width that are not of category Cf or Mn.
 INVISIBLE = "ᅟᅠㅤﾠ⠀͏឴឵᠋᠌᠍︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️"
-#: Code points that no step can change; quick-check ranges, the same for the JVM and for Python.
-STABLE = "\\t\\n\\r\\u000b\\u000c\\u0020-\\u007e\\u00c0-\\u0130\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e\\u0180-\\u01c3\\u01cd-\\u01f0\\u01f4-\\u024f\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fff"
+# Fixed value: the end of the two planes with alphabets; what lies beyond counts as unstable.
+_LAST = 0x20000
+# Blocks that are stable or unstable as a whole, ideographs and Hangul syllables, surrogates and private use.
+_WHOLE = {(0x3400, 0x4DBF): True, (0x4E00, 0x9FFF): True, (0xAC00, 0xD7A3): True, (0xD800, 0xF8FF): False}
+
+
+def _stable_ranges() -> list[tuple[int, int]]:
+    """Code points that no step can change, by the properties of the Unicode tables that Python comes with."""
+    joins = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # vowels and final consonants of Hangul
+    for c in (c for first, last in ((0xC0, 0x3400), (0x4DC0, 0x4E00), (0xA000, 0xAC00), (0xD7A4, 0xD800), (0xF900, _LAST)) for c in range(first, last)):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            joins.add(int(parts[1], 16))
+
+    def stable(c: int) -> bool:
+        char = chr(c)
+        if c < 0x7F:
+            return c >= 0x20 or char in "\t\n\r\x0b\x0c"
+        if unicodedata.category(char)[0] not in "LNPSM" or unicodedata.combining(char) or c in joins:
+            return False
+        return char not in LOOKALIKES and char not in INVISIBLE and unicodedata.is_normalized("NFKC", char)
+
+    ranges: list[tuple[int, int]] = []
+    at = 0
+    for (first, last), kept in [*_WHOLE.items(), ((_LAST, _LAST), False)]:
+        for c in range(at, first):
+            if stable(c):
+                if ranges and ranges[-1][1] == c - 1:
+                    ranges[-1] = (ranges[-1][0], c)
+                else:
+                    ranges.append((c, c))
+        if kept:
+            ranges.append((first, last))
+        at = last + 1
+    return ranges
+
+
+_RANGES = _stable_ranges()
+#: The stable code points as the inside of a character class, for Python and for Java.
+STABLE = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _RANGES)
+JAVA_STABLE = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _RANGES)
 PLAIN_BLANKS = " \t\n\r\x0b\x0c"
 
 _SEGMENT = re.compile(f"[{STABLE}]?[^{STABLE}]+")
@@ -62,6 +103,8 @@ def canonical_text(text: str | None) -> str | None:
     """The canonical form of one text; None stays None, an empty or invisible text gives an empty one."""
     if text is None:
         return None
+    if text.isascii() and text.isprintable():
+        return _BLANKS.sub(" ", text).strip() if "  " in text or text[:1] == " " or text[-1:] == " " else text
     if _UNSTABLE.search(text):
         text = _SEGMENT.sub(lambda m: _normal(m.group()), text)
         if not text.isascii():
@@ -76,7 +119,7 @@ def _canonical(texts: pd.Series) -> pd.Series:
 
 def is_stable(text: Column) -> Column:
     """The quick check inside the JVM: no character can change."""
-    return ~text.rlike(f"[^{STABLE}]")
+    return ~text.rlike(f"[^{JAVA_STABLE}]")
 
 
 def _tidy(text: Column) -> Column:
@@ -85,17 +128,13 @@ def _tidy(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """Canonical form as a column; rows that pass the quick check only have their blanks tidied."""
-    return F.when(is_stable(text), _tidy(text)).otherwise(_canonical(text))
+    """Canonical form as a column. Rows that pass the quick check only have their blanks tidied; they reach Python as nulls."""
+    return F.when(is_stable(text), _tidy(text)).otherwise(_canonical(F.when(~is_stable(text), text)))
 
 
 def normalise(df: DataFrame, column: str, into: str) -> DataFrame:
-    """Add the canonical form of ``column``; nulls stay null, all rows and other columns are kept.
-
-    Rows are parted by the quick check first, so that only unstable texts cross to Python.
-    """
-    stable = df.where(F.col(column).isNull() | is_stable(F.col(column))).withColumn(into, _tidy(F.col(column)))
-    return stable.unionByName(df.where(~is_stable(F.col(column))).withColumn(into, _canonical(F.col(column))))
+    """Add the canonical form of ``column``; nulls stay null, all rows and other columns are kept. One pass."""
+    return df.withColumn(into, canonical(F.col(column)))
 
 
 def looks_like(df: DataFrame, name: str, names: DataFrame, ref: str) -> DataFrame:

@@ -28,6 +28,8 @@ from inkroll.sources.tables import table
 
 #: Documents the weights are trained on, at most; the words of every document are counted and every document is segmented.
 SAMPLE = 4000
+#: Code points of a text of the sample, at most; longer ones are counted and segmented, but no weights are trained on them.
+LONGEST = 20_000
 #: Entries of the word counts of a task after which they are handed on.
 FLUSH = 200_000
 EPOCHS = 4
@@ -159,7 +161,7 @@ def _mask(text: str) -> str:
 
 
 def _before(masked: str, at: int) -> str:
-    """The word before a mark, in the form in which it is counted."""
+    """The word before a mark, in the form in which it is counted; words are told apart by their last 40 characters."""
     head = masked[max(0, at - 40) : at].rstrip()
     if not head:
         return "<start>"
@@ -544,8 +546,8 @@ def count_all(df: DataFrame, text: str) -> SentenceModel:
 
 
 def train(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> SentenceModel:
-    """Words counted over all documents; weights from at most ``sample`` of them, those with the smallest hashes of their keys."""
-    rows = df.where(F.col(text).isNotNull()).select(text, F.xxhash64(F.lit(9), F.col(key)).alias("_o")).orderBy("_o", text).limit(sample)
+    """Words counted over all documents; weights from at most ``sample`` of them, those not above `LONGEST` with the smallest hashes of their keys."""
+    rows = df.where(F.length(text) <= LONGEST).select(text, F.xxhash64(F.lit(9), F.col(key)).alias("_o")).orderBy("_o", text).limit(sample)
     return fit([r[0] for r in rows.collect()], counted=count_all(spread(df), text))
 
 
