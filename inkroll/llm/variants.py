@@ -60,8 +60,10 @@ susanna: sue sanna susie suzy | theodore: ted theo teddy | thomas: tom tommy | v
 COMMON = 0.0005
 #: to which so many imagined names without it are added, as a few names in a small table say little about a word.
 PRIOR = 16_000
-#: Two names that differ by an accent or a letter stay apart if both have this many times the rows of a typical spelling (the geometric mean)
+#: Two names that differ by an accent stay apart if both have this many times the rows of a typical spelling (the geometric mean),
 FREQUENT = 2.0
+#: two that differ by a letter if they have this many times, as a letter is sooner mistyped,
+FREQUENT_LETTERS = 4.0
 #: and the rarer one is not rarer than this share of the other. Both are ratios: the same rows several times over change nothing.
 MAJOR_SHARE = 0.1
 #: Families per shard when families of one letter's difference are sought: what one task sorts, some twelve forms of ten bytes each.
@@ -350,8 +352,8 @@ def _entry(key: Column, rank: int | Column = 0) -> Column:
     return F.struct(key.alias("key"), (F.lit(rank) if isinstance(rank, int) else rank).cast("int").alias("rank"))
 
 
-#: What is more frequent, the family first; the last one breaks ties.
-_ORDER = ("pull", "degree", "support", "node")
+#: What is more frequent, the family first; ties go to the longer family name, and the last one breaks those left.
+_ORDER = ("pull", "support", "size", "node")
 
 
 def _targets(live: DataFrame) -> DataFrame:
@@ -382,15 +384,18 @@ def _probes(live: DataFrame, near: DataFrame) -> DataFrame:
     person, organisation = c("kind").isin("f", "p", "w"), c("kind") == "o"
     others = F.filter(F.split("others", " "), lambda x: x != "")
     rank, name = lambda x: F.substring_index(x, ":", 1).cast("int"), lambda x: F.substring_index(x, ":", -1)
-    middles = F.when(c("letters") == "", F.array(F.lit(""))).otherwise(F.array("letters", F.lit(str(NO_MIDDLE))))
+    # With a middle initial: names that have it, and, as a weaker rewriting, names that occur without one.
+    middles = F.when(c("letters") == "", F.array(F.struct(F.lit("").alias("m"), F.lit(0).alias("more")))).otherwise(
+        F.array(F.struct(c("letters").alias("m"), F.lit(4).alias("more")), F.struct(F.lit(str(NO_MIDDLE)).alias("m"), F.lit(0).alias("more")))
+    )
     own = _forms(
         (person & ((c("kind") != "f") | c("accents")), F.array(_entry(_key(F.lit("g"), fam, "given"), 60))),
         (person & c("accents"), F.array(_entry(_key(F.lit("G"), acc, "given"), 61))),
         (person, F.transform(others, lambda x: _entry(_key(F.lit("g"), fam, name(x)), rank(x)))),
         (person & c("accents"), F.transform(others, lambda x: _entry(_key(F.lit("G"), acc, name(x)), rank(x) + 1))),
         (person & c("open") & (F.length("given") > 1), F.array(_entry(_key(F.lit("x"), fam, "given"), 40))),
-        (c("kind") == "i", F.transform(middles, lambda m: _entry(_key(F.lit("i"), fam, "given", m), 30))),
-        ((c("kind") == "i") & c("accents"), F.transform(middles, lambda m: _entry(_key(F.lit("I"), acc, "given", m), 31))),
+        (c("kind") == "i", F.transform(middles, lambda m: _entry(_key(F.lit("i"), fam, "given", m["m"]), 30 + m["more"]))),
+        ((c("kind") == "i") & c("accents"), F.transform(middles, lambda m: _entry(_key(F.lit("I"), acc, "given", m["m"]), 31 + m["more"]))),
         (organisation & c("accents"), F.array(_entry(_key(F.lit("o"), fam, "given"), 60), _entry(_key(F.lit("O"), acc, "given"), 61))),
         (c("kind") == "a", F.array(_entry(_key(F.lit("a"), fam, "letters"), 35))),
         ((c("kind") == "a") & c("accents"), F.array(_entry(_key(F.lit("A"), acc, "letters"), 36))),
@@ -400,7 +405,7 @@ def _probes(live: DataFrame, near: DataFrame) -> DataFrame:
         (person, F.array(_entry(_key(F.lit("g"), to, "given"), 20))),
         (person, F.transform(F.filter(others, lambda x: rank(x) != 50), lambda x: _entry(_key(F.lit("g"), to, name(x)), F.when(rank(x) == 55, 13).otherwise(12)))),
         (person & (F.length("given") > 1), F.array(_entry(_key(F.lit("x"), to, "given"), 12))),
-        (c("kind") == "i", F.transform(middles, lambda m: _entry(_key(F.lit("i"), to, "given", m), 10))),
+        (c("kind") == "i", F.transform(middles, lambda m: _entry(_key(F.lit("i"), to, "given", m["m"]), F.when(m["more"] > 0, 11).otherwise(10)))),
         (organisation, F.array(_entry(_key(F.lit("o"), to, "given"), 25))),
         (c("kind") == "a", F.array(_entry(_key(F.lit("a"), to, "letters"), 15))),
     )
@@ -431,7 +436,8 @@ def _edges(live: DataFrame, near: DataFrame, typical: float) -> DataFrame:
     c, rank = F.col, F.col("rank")
     smaller = c("u") < F.struct(*[f"v.{x}" for x in _ORDER])
     grows = (c("v.sure") & (c("u_kind") != "f")) | smaller
-    apart = (F.least("u.support", "v.support") >= F.lit(FREQUENT * typical)) & (c("u.support") >= MAJOR_SHARE * c("v.support"))
+    bound = F.when(rank.isin(60, 61), FREQUENT * typical).otherwise(FREQUENT_LETTERS * typical)
+    apart = (F.least("u.support", "v.support") >= bound) & (c("u.support") >= MAJOR_SHARE * c("v.support"))
     holds = (
         F.when(rank.isin(60, 61), ~apart & F.when(c("u_kind") == "o", smaller).otherwise(grows))
         .when(rank.isin(40, 41, 50, 51), ~apart & grows)
@@ -490,11 +496,11 @@ def link_variants(names: DataFrame, paired_only: bool = False) -> DataFrame:
     )
     heads = materialise(heads.withColumn("fam", _key("family")))
     near = materialise(near_families(heads, max(names.sparkSession.sparkContext.defaultParallelism, math.ceil(heads.count() / SHARD))))
-    # Of two families of one letter's difference the one with more rows is right, else the one with more such neighbours.
+    # Of two families of one letter's difference the one with more rows is right.
     marked = heads.drop("family").withColumn("degree", F.lit(0)).unionByName(near.groupBy("fam").agg(F.count("*").cast("int").alias("degree")), allowMissingColumns=True)
     marked = marked.groupBy("fam").agg(*[F.max(x).alias(x) for x in ("nodes", "accents", "initials", "organisations", "open", "unknown", "pull", "degree")])
     live = nodes.drop("multi").join(marked.where("nodes > 1 or degree > 0").drop("nodes"), "fam")
-    live = materialise(live.withColumn("node", F.xxhash64("reading")).withColumns({x: _field(x) for x in _READING}).where("kind <> 'm'").drop("reading"))
+    live = materialise(live.withColumn("node", F.xxhash64("reading")).withColumns({x: _field(x) for x in _READING}).withColumn("size", F.length("family")).where("kind <> 'm'").drop("reading"))
     edges = _edges(live, near, typical).repartition("u")
     best = edges.groupBy("u", "kind", "score").agg(F.max("v")["node"].alias("v"), F.min("a").alias("a"), F.max("b").alias("b"))
     best = best.groupBy("u").agg(F.max(F.struct("score", "kind", "v", "a", "b")).alias("t")).select("u", "t.*")
