@@ -36,6 +36,7 @@ _GAP = re.compile(r"[ \t\n\r\x0b\x0c,;|；、，&/•]+")
 _LEAD_AND = re.compile(r"and\s+", re.IGNORECASE)
 _SLOT_END = re.compile(r"\s*(?:$|[,;|；、，\t\n\r&/•]|and\s)", re.IGNORECASE)
 _QUOTED = {'"': re.compile(r'"((?:[^"]|"")*)"'), "“": re.compile("“([^“”]*)”"), "«": re.compile("«([^«»]*)»"), "'": re.compile(r"'([^']*)'")}
+_BRACKETS = re.compile(r"[()\[\]]")
 _NOTE = re.compile(r'\([^()]*\)|"[^"]*"|\[[^\[\]]*\]')
 _INITIAL = re.compile(r"(?:\w\.?(?:-?\w\.)*)$")
 
@@ -47,18 +48,17 @@ def _fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
 
 
-def _balanced(text: str, at: int) -> int:
-    """End of the bracket that opens at ``at``; -1 if it never closes."""
-    close = ")" if text[at] == "(" else "]"
-    depth = 0
-    for k in range(at, len(text)):
-        if text[k] == text[at]:
-            depth += 1
-        elif text[k] == close:
-            depth -= 1
-            if not depth:
-                return k + 1
-    return -1
+def _ends(text: str) -> dict[int, int]:
+    """End of every bracket that closes, by its start; round and square brackets are matched apart, in one pass."""
+    ends: dict[int, int] = {}
+    open_at: dict[str, list[int]] = {")": [], "]": []}
+    for m in _BRACKETS.finditer(text):
+        c = m.group()
+        if c in "([":
+            open_at[")" if c == "(" else "]"].append(m.start())
+        elif open_at[c]:
+            ends[open_at[c].pop()] = m.end()
+    return ends
 
 
 def _name_word(word: str) -> bool:
@@ -107,7 +107,7 @@ def split_field(text: str, blanks: str | None = None) -> list[tuple[str, str | N
         text = text.strip(blanks)
         return [(text, None)] if text else []
     pieces: list[list] = []  # start, end, separator before, value if quoted, flag
-    at, n, gap = 0, len(text), ""
+    at, n, gap, ends = 0, len(text), "", None
     while at < n:
         if m := _GAP.match(text, at):
             gap += m.group()
@@ -136,7 +136,8 @@ def split_field(text: str, blanks: str | None = None) -> list[tuple[str, str | N
                 break
             what = m.group()
             if what in "([":
-                k = _balanced(text, m.start())
+                ends = _ends(text) if ends is None else ends
+                k = ends.get(m.start(), -1)
                 if k < 0:
                     flag, k = "bad_bracket", m.end()
             elif what == '"':
@@ -165,7 +166,7 @@ def split_values(df: DataFrame, field: str, position: str = "position", item: st
     """One row per value packed in ``field``, with all other columns, the 0-based position and an error flag.
 
     Null, empty and blank fields and empty slots yield no row; repeated rows stay repeated; a field of
-    any length is parsed whole, in time linear in its length but for unclosed brackets. The output
+    any length is parsed whole, in time linear in its length but for unclosed quotes. The output
     columns ``position``, ``item`` and ``error`` replace input columns of the same name. Narrow: no shuffle.
     """
     new = {position, item, error}
