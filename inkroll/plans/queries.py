@@ -14,7 +14,8 @@ from inkroll.operators.features import FEATURES, with_features
 from inkroll.operators.histogram import equal_width
 from inkroll.operators.rules import classify_by_rules, classify_by_score, with_rules
 from inkroll.session import scratch, spread
-from inkroll.sources.records import record_slice, records
+from inkroll.sources import sinks
+from inkroll.sources.records import labelled_for_evaluation, labelled_for_training, read_csv, record_slice, records
 from inkroll.sources.tables import table
 
 PAIRS = TH.parse_pairs(TH.DEFAULT_PAIRS)
@@ -322,6 +323,42 @@ def jsonl_slice(spark: SparkSession, d: str) -> DataFrame:
     return record_slice(spark, _as_lines(spark, d), 100, 1000)
 
 
+def csv_training(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled candidates written as CSV and read for training."""
+    path = scratch(spark)
+    sinks.write_csv(table(spark, d, "labelled_candidates"), path)
+    return labelled_for_training(read_csv(spark, path)).select("candidate", "label", "ner_label")
+
+
+def csv_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled candidates written as CSV and read for evaluation."""
+    path = scratch(spark)
+    sinks.write_csv(table(spark, d, "labelled_candidates"), path)
+    return labelled_for_evaluation(read_csv(spark, path)).select("candidate", "label", "ner_label")
+
+
+def csv_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Author counts written and read again; a name that reads as missing is null."""
+    path = scratch(spark)
+    sinks.write_author_counts(A.author_counts(decided(spark, d)), path)
+    return read_csv(spark, path).select("author", F.col("count").cast("long").alias("count"))
+
+
+def csv_uncertain(spark: SparkSession, d: str) -> DataFrame:
+    """Uncertain occurrences written and read again."""
+    path = scratch(spark)
+    rows = decided(spark, d).withColumnRenamed("id", "arxiv_id").withColumn("ner_label", F.lit(None).cast("string"))
+    sinks.write_uncertain(rows, path)
+    return read_csv(spark, path).select("arxiv_id", "candidate", F.col("position").cast("int").alias("position"), "ner_label", F.col("score").cast("double").alias("score"), "reason")
+
+
+def csv_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Scored candidates written as CSV and read again."""
+    path = scratch(spark)
+    sinks.write_scored(scored(spark, d).select("cand_id", "candidate", "person_score"), path, "csv")
+    return read_csv(spark, path).select(F.col("cand_id").cast("long").alias("cand_id"), "candidate", F.col("person_score").cast("double").alias("person_score"))
+
+
 def baseline(spark: SparkSession, d: str) -> DataFrame:
     return _round(M.baseline(scores(spark, d)))
 
@@ -346,7 +383,6 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
 def train_predict(spark: SparkSession, d: str) -> DataFrame:
     """Model fitted on the labelled candidates, applied to every scored candidate."""
     from inkroll.operators.model import fit_model, score_candidates
-    from inkroll.sources.records import labelled_for_training
 
     model = fit_model(labelled_for_training(table(spark, d, "labelled_candidates").select("candidate", "label")).where("label in (0, 1)"))
     return score_candidates(scored(spark, d).select("cand_id", "candidate"), model)
@@ -355,7 +391,6 @@ def train_predict(spark: SparkSession, d: str) -> DataFrame:
 def model_report(spark: SparkSession, d: str) -> DataFrame:
     """Hold-out report of the model."""
     from inkroll.operators.model import train_and_report
-    from inkroll.sources.records import labelled_for_training
 
     return train_and_report(labelled_for_training(table(spark, d, "labelled_candidates").select("candidate", "label")).where("label in (0, 1)"))[1]
 
@@ -367,6 +402,6 @@ QUERIES = {
         decision_counts_nfkc, author_counts_nfkc, top_authors_nfkc, distinct_authors_nfkc, uncertain_rows_nfkc, labelling_sheet_nfkc, threshold_decisions, threshold_summary, bucket_groups,
         score_classification, uncertain_summary, uncertain_top, rejected_summary, reason_histogram, ner_distribution, decision_overview, count_describe, score_describe, score_frequency, candidate_frequency, score_histogram, count_histogram,
         threshold_histogram, histogram_by_class, confusion, confusion_norm, class_report, threshold_sweep, roc_auc, average_precision, roc_curve, pr_curve, calibration, class_counts, predictions, error_fp, error_fn, stratified_split,
-        source_slice_lines, source_slice_valid, jsonl_lines, jsonl_slice, baseline, char_ngrams, tfidf, train_predict, model_report,
+        source_slice_lines, source_slice_valid, jsonl_lines, jsonl_slice, csv_training, csv_evaluation, csv_counts, csv_uncertain, csv_scored, baseline, char_ngrams, tfidf, train_predict, model_report,
     )
 }

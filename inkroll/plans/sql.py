@@ -102,6 +102,17 @@ SWEEP = "pairs as (" + " union all ".join(f"select cast({p} as double) pt, cast(
 EVERY = f"with {SWEEP}, every as (select s.*, pt, nt, tag, case when person_score >= pt then 'PERSON' when person_score <= nt then 'NON_PERSON' else 'UNCERTAIN' end decision from scored_candidates s cross join pairs)"
 
 
+# Fields of a CSV that read as missing.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
+def present(column: str) -> str:
+    return f"case when not list_contains({words(MISSING)}, {column}) then {column} end"
+
+
+LABELLED = f"select candidate, label, {present('ner_label')} ner_label from labelled_candidates where {present('candidate')} is not null and"
+
+
 def mode(column: str, keys: str, source: str, name: str) -> str:
     """CTE with the usual value per group, ties to the smallest."""
     return f"{name} as (select {keys}, {column} from (select {keys}, {column}, row_number() over (partition by {keys} order by count(*) desc, {column}) k from {source} where {column} is not null group by {keys}, {column}) where k = 1)"
@@ -223,6 +234,11 @@ select candidate, label, k <= floor(n * 0.2 + 0.5) is_test from x""",
     "source_slice_valid": "select line_no, id, authors from raw_records where line_no >= 100 and authors is not null and authors <> '' order by line_no limit 1000",
     "jsonl_lines": "select line_no, id, authors from (select row_number() over (order by line_no) - 1 line_no, id, authors from raw_records) where line_no < 50000",
     "jsonl_slice": "select line_no, id, authors from (select row_number() over (order by line_no) - 1 line_no, id, authors from raw_records) where line_no >= 100 order by line_no limit 1000",
+    "csv_training": f"{LABELLED} label is not null",
+    "csv_evaluation": f"{LABELLED} label in (0, 1)",
+    "csv_counts": f"select {present('author')} author, count from ({COUNTED})",
+    "csv_uncertain": f"{DECIDED} select {present('id')} arxiv_id, {present('candidate')} candidate, cast(position as int) position, cast(null as varchar) ner_label, {PROBABILITY} score, rule_reason reason from r where rule_label = 'UNCERTAIN'",
+    "csv_scored": f"select cand_id, {present('candidate')} candidate, person_score from scored_candidates",
     "baseline": f"select round(avg(y), 8) positive_rate from ({SCORES})",
     "char_ngrams": f"with {GRAMS} select gram, count(*) count from g group by gram",
     "tfidf": f"with {GRAMS}, d as (select gram, count(distinct id) df from g group by gram having count(distinct id) >= 2) select gram, df, round(ln((1 + (select count(*) from w)) / (1.0 + df)) + 1, 8) idf from d",

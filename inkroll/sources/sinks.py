@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# White space at the ends of a value is part of it; quotes are doubled; nulls and empty texts are empty fields.
+_CSV = {"header": True, "emptyValue": "", "nullValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """CSV with header; ``single`` for small tables that one reader wants as one file."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, emptyValue="", nullValue="", escape='"')
+    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, **_CSV)
 
 
 def write_author_counts(counts: DataFrame, path: str, single: bool = False) -> None:
@@ -38,7 +42,7 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
 
 def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
     """One folder per value of ``by`` (the tag if none are named) in a single job."""
-    df.write.mode("overwrite").partitionBy(*(by or ("tag",))).csv(path, header=True, emptyValue="", nullValue="", escape='"')
+    df.write.mode("overwrite").partitionBy(*(by or ("tag",))).csv(path, **_CSV)
 
 
 def write_scored(df: DataFrame, path: str, form: str = "parquet") -> None:
