@@ -307,9 +307,12 @@ def leads(name: str, model: CharModel) -> Iterator[tuple[bool, int]]:
     0 if none leads; a garbled name has a lead only if its likeliest reading is the name.
     """
     yield False, max(_steps(found[2]) if not x.isascii() and (found := best_reading(x, model)) else 0 for x in [name, *_words(name)])
+    known: dict[str, int] = {}  # several chains often garble alike
     for text in _spoilt(name):
-        found = best_reading(text, model)
-        yield True, _steps(found[2]) if found and found[0] == name else 0
+        if text not in known:
+            found = best_reading(text, model)
+            known[text] = _steps(found[2]) if found and found[0] == name else 0
+        yield True, known[text]
 
 
 def _steps(lead: float) -> int:
@@ -397,9 +400,14 @@ def find_garbled(records: DataFrame, authors: str, model: CharModel, margin: flo
         own = CharModel(pairs, lost=lost)
         for batch in batches:
             out = []
+            known: dict[str, tuple] = {}  # names repeat
             for r, text in enumerate(batch.column(len(keep)).to_pylist()):
                 for p, (item, _) in enumerate(split_field(text, PLAIN_BLANKS)):
-                    bad, restored, chain = restore(item, own, least)
+                    if item.isascii():
+                        continue
+                    if item not in known:
+                        known[item] = restore(item, own, least)
+                    bad, restored, chain = known[item]
                     if bad:
                         out.append((r, p, item, restored, chain))
             index = pa.array([x[0] for x in out], pa.int64())
