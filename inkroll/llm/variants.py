@@ -455,13 +455,19 @@ def rooted(parents: DataFrame) -> DataFrame:
     Every round doubles the steps and cuts the lineage with a table. While a chain is not at its root, each round brings some node
     there; when none gets there any more, the rest runs in circles, and each circle gets its largest member as root.
     """
-    steps, before = parents, None
-    while (left := parents.join(steps.select(F.col("u").alias("v")), "v", "left_semi").count()) and left != before:
-        before = left
+    steps, before, last = parents, None, None
+    while True:
         jump = parents.select(F.col("u").alias("v"), F.col("v").alias("w"))
-        parents = materialise(parents.join(jump, "v", "left").select("u", F.coalesce("w", "v").alias("v"), "score"))
-    if not left:
-        return parents
+        moved = materialise(parents.join(jump, "v", "left").select("u", F.coalesce("w", "v").alias("v"), "score", F.col("w").isNotNull().alias("moved")))
+        left = moved.where("moved").count()
+        if last is not None:
+            release(last)
+        parents, last = moved.drop("moved"), moved
+        if not left:
+            return parents
+        if left == before:
+            break
+        before = left
     circling = parents.join(steps.select(F.col("u").alias("v")), "v", "left_semi").select("u")
     ring = steps.join(circling, "u", "left_semi").select("u", "v", F.col("u").alias("top"))
     for _ in range((left - 1).bit_length()):  # top: the largest of as many nodes from u on as v is steps away
